@@ -29,18 +29,25 @@ STAGE_KEYWORDS = {
     "buyout": ["buyout"],
 }
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as white space at the edge of a cell.
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+
+
+def _stripped(col: Column) -> Column:
+    return F.trim(col, F.lit(_SPACE))
 
 
 def domain_key(url: Column, strict: bool = True) -> Column:
     """Bare host of a URL, ``''`` if there is none. ``strict`` also drops the port and
     anything without a dot."""
-    host = F.lower(F.regexp_replace(url.cast("string"), _EDGE_SPACE, ""))
+    host = F.lower(_stripped(url.cast("string")))
     host = F.regexp_replace(host, r"^https?://", "")
     host = F.regexp_replace(host, r"^www\.", "")
     for stop in ["/", "?"] + ([":"] if strict else []):
         host = F.substring_index(host, stop, 1)
-    host = F.regexp_replace(host, _EDGE_SPACE, "")
+    host = _stripped(host)
     if strict:
         host = F.when(host.contains("."), host)
     return F.coalesce(host, F.lit(""))
@@ -48,7 +55,7 @@ def domain_key(url: Column, strict: bool = True) -> Column:
 
 def name_key(name: Column) -> Column:
     """Letters and digits only, legal-form words removed, single spaces; ``''`` for NULL."""
-    words = F.regexp_replace(F.lower(name.cast("string")), "&", " and ")
+    words = F.replace(F.lower(name.cast("string")), F.lit("&"), F.lit(" and "))
     words = F.regexp_replace(words, "[^a-z0-9]+", " ")
     words = F.regexp_replace(words, r"\b(" + "|".join(LEGAL_WORDS) + r")\b", " ")
     return F.coalesce(F.trim(F.regexp_replace(words, " +", " ")), F.lit(""))
@@ -57,7 +64,7 @@ def name_key(name: Column) -> Column:
 def country_key(country: Column, missing_matches: bool = False) -> Column:
     """Lower-cased country. With ``missing_matches`` all unknown countries share the key
     ``nan`` and so match one another; otherwise they stay NULL and match nothing."""
-    key = F.lower(F.regexp_replace(country.cast("string"), _EDGE_SPACE, ""))
+    key = F.lower(_stripped(country.cast("string")))
     return F.coalesce(key, F.lit("nan")) if missing_matches else key
 
 
