@@ -42,14 +42,11 @@ def _stripped(col: Column) -> Column:
 def domain_key(url: Column, strict: bool = True) -> Column:
     """Bare host of a URL, ``''`` if there is none. ``strict`` also drops the port and
     anything without a dot."""
-    host = F.lower(_stripped(url.cast("string")))
-    host = F.regexp_replace(host, r"^https?://", "")
-    host = F.regexp_replace(host, r"^www\.", "")
-    for stop in ["/", "?"] + ([":"] if strict else []):
-        host = F.substring_index(host, stop, 1)
+    stops = "/?:" if strict else "/?"
+    host = F.regexp_extract(F.lower(_stripped(url.cast("string"))), rf"^(?:https?://)?(?:www\.)?([^{stops}]*)", 1)
     host = _stripped(host)
     if strict:
-        host = F.when(host.contains("."), host)
+        host = F.regexp_replace(host, "^[^.]*$", "")
     return F.coalesce(host, F.lit(""))
 
 

@@ -98,6 +98,13 @@ def deal_ledger(deals: DataFrame, unit: str = "quarter") -> DataFrame:
     )
 
 
+def listed_twice(ledger: DataFrame) -> DataFrame:
+    """Deal identities that stand in the ledger under more than one set of keys: usually
+    none or few. Their deals need care not to be counted once per listing."""
+    counted = ledger.groupBy(*DEAL_IDENTITY).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.filter(F.col("_n") > 1).select(*DEAL_IDENTITY)
+
+
 def fan_out(entities: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Entities, deals and the number of pairs each shared key would produce. Read this
     before asking for the pair list."""
@@ -165,29 +172,38 @@ def crosswalk_first(entities: DataFrame, ledger: DataFrame, entity: str = "compa
 
 
 def _per_key_period(deals: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    """Distinct deals per match key and period, as signed counts and sums."""
-    once = deals.groupBy(*keys, *DEAL_IDENTITY, "fact_period").agg(
-        F.max("enterprisevalue").alias("enterprisevalue")
-    )
+    """Deals per match key and period, as signed counts and sums."""
     newest = order_key("deal_date", "enterprisevalue")
-    return once.groupBy(*keys, "fact_period").agg(
+    return usable(deals, keys).groupBy(*keys, "fact_period").agg(
         (F.count(F.lit(1)) * sign).alias("deals"),
         (F.sum("preqin_deal_size_usd") * sign).alias("size"),
         F.max(F.when(F.col("enterprisevalue").isNotNull(), newest)).alias("newest_value"),
     )
 
 
-def deals_by_period(entities: DataFrame, ledger: DataFrame, entity: str = "company_uuid") -> DataFrame:
+def deals_by_period(
+    entities: DataFrame, ledger: DataFrame, entity: str = "company_uuid", repeated: DataFrame | None = None
+) -> DataFrame:
     """Matched deals per (entity, period), each deal once however it was found:
     deals by domain + deals by name and country - deals that both keys of the entity reach.
+
+    A deal listed under one set of keys is a single ledger row and is summed as it stands.
+    Deals in ``repeated`` (see :func:`listed_twice`) are first reduced to one row per key.
     """
     dated = ledger.filter(F.col("fact_period").isNotNull())
+    repeated = listed_twice(ledger) if repeated is None else repeated
+    plain = dated.join(repeated, DEAL_IDENTITY, "left_anti")
+    several = dated.join(repeated, DEAL_IDENTITY, "left_semi")
+    both = usable(entities, FULL_KEY).select(entity, *FULL_KEY).distinct()
     parts = []
     for keys in (DOMAIN_KEY, NAME_KEY):
         left = usable(entities, keys).select(entity, *keys).distinct()
-        parts.append(spread_join(left, _per_key_period(usable(dated, keys), keys, 1), keys, [entity]))
-    both = usable(entities, FULL_KEY).select(entity, *FULL_KEY).distinct()
-    shared = _per_key_period(_reached_by_all_keys(dated, both), FULL_KEY, -1)
+        once = several.groupBy(*keys, *DEAL_IDENTITY, "fact_period").agg(F.max("enterprisevalue").alias("enterprisevalue"))
+        sums = _per_key_period(plain, keys, 1).unionByName(_per_key_period(once, keys, 1))
+        parts.append(spread_join(left, sums, keys, [entity]))
+    shared = _per_key_period(plain, FULL_KEY, -1).unionByName(
+        _per_key_period(_reached_by_all_keys(several, both), FULL_KEY, -1)
+    )
     parts.append(spread_join(both, shared, FULL_KEY, [entity]))
     rows = [p.select(entity, "fact_period", "deals", "size", "newest_value") for p in parts]
     return (
@@ -201,28 +217,17 @@ def deals_by_period(entities: DataFrame, ledger: DataFrame, entity: str = "compa
     )
 
 
-def _reached_by_all_keys(dated: DataFrame, both: DataFrame) -> DataFrame:
-    """Distinct (deal identity, domain, name, country) where the identity carries the domain
-    on some row and the name and country on some row.
-
-    A deal identity listed under one domain and one name passes straight through. Only
-    identities listed under several are recombined, and only for keys that entities use.
-    """
+def _reached_by_all_keys(several: DataFrame, both: DataFrame) -> DataFrame:
+    """Distinct (deal identity, domain, name, country) where a deal listed several times
+    carries the domain on some row and the name and country on some row, for domains and
+    names that entities use."""
     identity = [*DEAL_IDENTITY, "fact_period"]
-    keyed = dated.select(*identity, *FULL_KEY)
-    listed = keyed.groupBy(*identity).agg(
-        F.min(F.struct(*FULL_KEY)).alias("_low"), F.max(F.struct(*FULL_KEY)).alias("_high")
-    )
-    plain = F.col("_low").eqNullSafe(F.col("_high"))
-    single = listed.filter(plain).select(*identity, *[F.col("_low")[k].alias(k) for k in FULL_KEY])
-    several = keyed.join(listed.filter(~plain).select(*identity), identity, "left_semi")
-    domains = usable(several, DOMAIN_KEY).join(both.select(*DOMAIN_KEY).distinct(), DOMAIN_KEY, "left_semi")
-    names = usable(several, NAME_KEY).join(both.select(*NAME_KEY).distinct(), NAME_KEY, "left_semi")
+    domains = several.join(both.select(*DOMAIN_KEY).distinct(), DOMAIN_KEY, "left_semi")
+    names = several.join(both.select(*NAME_KEY).distinct(), NAME_KEY, "left_semi")
     recombined = domains.select(*identity, *DOMAIN_KEY).distinct().join(
         names.select(*identity, *NAME_KEY).distinct(), identity
     )
-    out = usable(single, FULL_KEY).unionByName(recombined)
-    return out.withColumn("enterprisevalue", F.lit(None).cast("double"))
+    return recombined.withColumn("enterprisevalue", F.lit(None).cast("double"))
 
 
 def domain_entities(companies: DataFrame, entity: str, strict: bool = True) -> DataFrame:

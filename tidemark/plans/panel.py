@@ -39,13 +39,22 @@ class PanelResult:
     last_period: int
 
 
-def deal_sides(inputs: PanelInputs, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
-    """Entities with their match keys, and the ledger of deals. Both are written once: five
-    sums read them, and keys and copies should be worked out a single time."""
+@dataclass
+class MatchTables:
+    """Written once and read by every sum over matched deals."""
+
+    entities: DataFrame
+    ledger: DataFrame
+    repeated: DataFrame
+
+
+def match_tables(inputs: PanelInputs, spec: PanelSpec) -> MatchTables:
+    """Entities with their match keys, the ledger of deals, and the deals listed twice."""
     deals = matching.unified_deals(inputs.vc_deals, inputs.buyout_deals)
-    entities = matching.entity_keys(inputs.companies, spec.entity, spec.match_missing_country)
-    ledger = matching.deal_ledger(matching.deal_keys(deals, spec.match_missing_country), spec.unit)
-    return cut(entities, "entity-keys"), cut(ledger, "deal-ledger")
+    keyed = matching.deal_keys(deals, spec.match_missing_country)
+    entities = cut(matching.entity_keys(inputs.companies, spec.entity, spec.match_missing_country), "entity-keys")
+    ledger = cut(matching.deal_ledger(keyed, spec.unit), "deal-ledger")
+    return MatchTables(entities, ledger, cut(matching.listed_twice(ledger), "deals-listed-twice"))
 
 
 def default_exit_sources(inputs: PanelInputs, links: DataFrame, spec: PanelSpec) -> list[labels.ExitSource]:
@@ -67,9 +76,9 @@ def round_block(rounds: DataFrame, spec: PanelSpec) -> FactBlock:
     )
 
 
-def deal_block(entities: DataFrame, ledger: DataFrame, spec: PanelSpec) -> FactBlock:
+def deal_block(match: MatchTables, spec: PanelSpec) -> FactBlock:
     return FactBlock(
-        matching.deals_by_period(entities, ledger, spec.entity),
+        matching.deals_by_period(match.entities, match.ledger, spec.entity, match.repeated),
         totals={
             "preqin_deals_in_q": "preqin_deal_count_asof",
             "preqin_deal_size_in_q": "preqin_deal_size_sum_asof",
@@ -134,8 +143,8 @@ def build_panel(
     Blocks of other feature families may ride along in ``extra_blocks``, so that the panel
     is expanded and windowed once for all of them.
     """
-    entities, ledger = deal_sides(inputs, spec)
-    links = matching.crosswalk_first(entities, ledger, spec.entity, spec.unit)
+    match = match_tables(inputs, spec)
+    links = matching.crosswalk_first(match.entities, match.ledger, spec.entity, spec.unit)
     sources = default_exit_sources(inputs, links, spec) if exit_sources is None else exit_sources
     exits = labels.first_exit(labels.exit_events(sources, spec), spec)
     if asof is None:
@@ -158,7 +167,7 @@ def build_panel(
         spec.entity, *spec.carry, "founded_q", "sector_bucket", "first_stage", "exit_q", "route_label",
         "event_value_usd", "first_preqin_deal_q", "panel_start", "panel_end",
     )
-    blocks = [round_block(inputs.funding_rounds, spec), deal_block(entities, ledger, spec), *(extra_blocks or [])]
+    blocks = [round_block(inputs.funding_rounds, spec), deal_block(match, spec), *(extra_blocks or [])]
     panel = asof_panel(base, blocks, spec.entity, spec.period, spec.lag, spec.asof_mode)
     panel = deal_features(round_features(panel, spec, stage), spec)
     panel = labels.split_rows(labels.label_rows(panel, spec), spec)

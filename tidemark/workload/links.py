@@ -8,7 +8,7 @@ from tidemark.operators import asof, labels, matching, ordered, spine
 from tidemark.operators.runs import activity_runs
 from tidemark.operators.skew import spread_join
 from tidemark.operators.snapshot_asof import activity_by_period
-from tidemark.plans.panel import deal_sides
+from tidemark.plans.panel import match_tables
 from tidemark.workload import sql as S
 from tidemark.workload import standins as D
 
@@ -18,7 +18,8 @@ E = "company_uuid"
 
 
 def _sides(spark, sf):
-    return deal_sides(D.inputs(spark, sf), D.panel_spec())
+    tables = match_tables(D.inputs(spark, sf), D.panel_spec())
+    return tables.entities, tables.ledger
 
 
 def _links(keys):
@@ -92,8 +93,8 @@ METHOD_COUNTS = f"""WITH {S.COMPANIES}, {S.LINKS} SELECT method AS match_method,
 
 
 def deals_by_period(spark, sf):
-    entities, ledger = _sides(spark, sf)
-    d = matching.deals_by_period(entities, ledger, E)
+    t = match_tables(D.inputs(spark, sf), D.panel_spec())
+    d = matching.deals_by_period(t.entities, t.ledger, E, t.repeated)
     return d.select(
         E, "fact_period", F.col("preqin_deals_in_q").alias("n"), R(F.col("preqin_deal_size_in_q"), 2).alias("size"),
         F.col("buyout_enterprise_value_latest_q").alias("ev"),
