@@ -278,12 +278,13 @@ COHORT_MOMENTS = f"""WITH {_SINCE} SELECT sector_bucket, stage_bucket, round(avg
 
 
 def residuals(spark, sf):
-    c = D.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    out = cohort.residualize(c, "o_totalprice", ["o_orderpriority", "year"], ["o_orderkey"], "residual")
+    # whole amounts: their sums are exact, so both engines divide the same numbers
+    c = D.table(spark, sf, "orders").withColumns({"year": F.year("o_orderdate"), "whole": F.floor("o_totalprice").cast("double")})
+    out = cohort.residualize(c, "whole", ["o_orderpriority", "year"], ["o_orderkey"], "residual")
     return out.select("o_orderkey", R(F.col("residual"), 4).alias("residual"))
 
 
-RESIDUALS = """SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority, year(o_orderdate)), 4) AS residual FROM orders"""
+RESIDUALS = """SELECT o_orderkey, round(floor(o_totalprice) - avg(floor(o_totalprice)) OVER (PARTITION BY o_orderpriority, year(o_orderdate)), 4) AS residual FROM orders"""
 
 IC_FEATURES = ["time_since_last_round_q", "num_investors_last_round", "last_round_amount", "quarter_idx", "last_round_amount_missing"]
 
