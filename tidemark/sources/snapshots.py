@@ -36,6 +36,12 @@ def listing_url(domain: Column) -> Column:
     return F.concat(F.lit(LISTING_BASE + "url="), F.url_encode(F.concat(domain, F.lit("/"))), *tail)
 
 
+def snapshot_time(stamp: Column) -> Column:
+    """``yyyyMMddHHmmss`` text as a timestamp, anything else as NULL."""
+    digits = F.when(stamp.rlike("^[0-9]{14}$"), stamp)
+    return F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+
+
 def parse_listings(listings: DataFrame) -> DataFrame:
     """One row per snapshot. The header row names the columns of the rows below it; rows
     whose timestamp does not parse are dropped."""
@@ -52,17 +58,21 @@ def parse_listings(listings: DataFrame) -> DataFrame:
         return F.when(at > 0, F.try_element_at("_row", at)).alias(name)
 
     named = flat.select("website_domain", *[field(name) for name in LISTING_FIELDS])
-    stamp = F.try_to_timestamp(F.when(F.col("timestamp").rlike("^[0-9]{14}$"), F.col("timestamp")), F.lit("yyyyMMddHHmmss"))
-    return named.withColumn("snapshot_dt", stamp.cast("timestamp_ntz")).filter(F.col("snapshot_dt").isNotNull())
+    return named.withColumn("snapshot_dt", snapshot_time(F.col("timestamp"))).filter(F.col("snapshot_dt").isNotNull())
 
 
 def query_log(listings: DataFrame) -> DataFrame:
-    """One row per queried domain: status, snapshots in the response, error."""
-    size = F.size(F.coalesce(F.from_json("payload", "array<array<string>>"), F.array().cast("array<array<string>>")))
+    """One row per queried domain: status, usable snapshots in the response, error."""
+    grid = F.from_json("payload", "array<array<string>>")
+    at = F.array_position(grid[0], "timestamp").cast("int")
+    usable = F.filter(
+        F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))),
+        lambda row: (at > 0) & snapshot_time(F.try_element_at(row, F.greatest(at, F.lit(1)))).isNotNull(),
+    )
     return listings.select(
         "website_domain",
         listing_url(F.col("website_domain")).alias("source_url"),
         F.coalesce("cdx_http_status", F.lit(0)).alias("cdx_http_status"),
-        F.greatest(size - 1, F.lit(0)).alias("snapshot_rows"),
+        F.when(F.size(grid) > 1, F.size(usable)).otherwise(0).alias("snapshot_rows"),
         F.coalesce("error", F.lit("")).alias("error"),
     )
