@@ -61,15 +61,23 @@ def audited_top(
 ) -> DataFrame:
     """The best k rows with the panel columns an auditor needs.
 
-    The selection has at most ``max(ks)`` rows per model. It finds its entities' train rows
-    and its own test rows in one pass each over the panel.
+    The selection holds at most ``max(ks)`` rows per fitted model, which bounds what is
+    broadcast; the panel is filtered by it in place and never shuffled.
     """
     key = [spec.entity, spec.period]
     top = top_rows(pred.select(*groups, *key, spec.label, "score"), max(ks), key, groups)
     have = [c for c in (*AUDIT_MEANS, *AUDIT_MEDIANS) if c in panel.columns]
-    facts = panel.filter(F.col("split") == "test").select(*key, "exit_q", "company_exit_route", *have)
+    facts = (
+        panel.filter(F.col("split") == "test")
+        .select(*key, "exit_q", "company_exit_route", *have)
+        .join(F.broadcast(top.select(*key).distinct()), key, "left_semi")
+    )
     seen = (
-        panel.filter(F.col("split") == "train").select(spec.entity).distinct().withColumn("company_seen_in_train", F.lit(1))
+        panel.filter(F.col("split") == "train")
+        .select(spec.entity)
+        .join(F.broadcast(top.select(spec.entity).distinct()), spec.entity, "left_semi")
+        .distinct()
+        .withColumn("company_seen_in_train", F.lit(1))
     )
     joined = top.join(facts, key, "left").join(seen, spec.entity, "left")
     return _per_k(

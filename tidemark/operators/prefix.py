@@ -45,21 +45,17 @@ def value_prefix(
     groups: Sequence[str] = (),
     weights: dict[str, Column] | None = None,
     ranges: int = RANGES,
-    keep: Sequence[str] = (),
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per (group, value): weights of the value, of all smaller values in its group
-    (``<w>_before``) and of the group (``<w>_total``). ``n`` counts rows.
-
-    ``keep`` adds columns to the collapse, so that rows come back per (group, value, keep)
-    while the prefixes and ``<w>_tied`` still speak of the value. NULL values are left out.
-    ``cuts`` reuses cut points found before.
+    (``<w>_before``) and of the group (``<w>_total``). ``n`` counts rows. NULL values are
+    left out. ``cuts`` reuses cut points found before.
     """
-    groups, keep = list(groups), list(keep)
+    groups = list(groups)
     measures = {"n": F.lit(1), **(weights or {})}
     known = df.filter(F.col(value).isNotNull())
     cuts = cut_points(known, value, ranges) if cuts is None else cuts
-    cells = known.groupBy(*groups, value, *keep).agg(*[F.sum(w).alias(m) for m, w in measures.items()])
+    cells = known.groupBy(*groups, value).agg(*[F.sum(w).alias(m) for m, w in measures.items()])
     cells = into_ranges(cells, value, cuts, "_range")
 
     per_range = cells.groupBy(*groups, "_range").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
@@ -71,27 +67,12 @@ def value_prefix(
         *[F.coalesce(F.sum(f"_{m}").over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures],
         *[F.sum(f"_{m}").over(whole).alias(f"{m}_total") for m in measures],
     )
-    inside = Window.partitionBy(*groups, "_range").orderBy(value)
-    placed = cells.join(offsets, [*groups, "_range"])
-    if keep:
-        # the ordered default frame includes all rows tied with the current one
-        tied = Window.partitionBy(*groups, "_range", value)
-        upto = {f"_{m}_upto": F.sum(m).over(inside) for m in measures}
-        placed = placed.withColumns(upto)
-        placed = placed.withColumns({f"{m}_tied": F.sum(m).over(tied) for m in measures})
-        placed = placed.withColumns(
-            {f"{m}_before": F.col(f"_{m}_offset") + F.col(f"_{m}_upto") - F.col(f"{m}_tied") for m in measures}
-        )
-        extra = [f"{m}_tied" for m in measures]
-    else:
-        smaller = inside.rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.withColumns(
-            {f"{m}_before": F.col(f"_{m}_offset") + F.coalesce(F.sum(m).over(smaller), F.lit(0)) for m in measures}
-        )
-        extra = []
+    smaller = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.join(offsets, [*groups, "_range"]).withColumns(
+        {f"{m}_before": F.col(f"_{m}_offset") + F.coalesce(F.sum(m).over(smaller), F.lit(0)) for m in measures}
+    )
     return placed.select(
-        *groups, value, *keep, *measures, *extra,
-        *[f"{m}_before" for m in measures], *[f"{m}_total" for m in measures],
+        *groups, value, *measures, *[f"{m}_before" for m in measures], *[f"{m}_total" for m in measures]
     )
 
 

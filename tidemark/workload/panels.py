@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config import SplitSpec
 from tidemark.operators import asof, audit, availability, cohort, labels, rank_ic, sampling, spine
 from tidemark.plans import features, panel as P
+from tidemark.sources.sinks import cut
 from tidemark.workload import sql as S
 from tidemark.workload import standins as D
 
@@ -257,7 +258,7 @@ def _since_panel(spark, sf):
 
 
 def cohort_z(spark, sf):
-    p = features.cohort_gap(_since_panel(spark, sf), SPEC)
+    p = features.cohort_gap(cut(_since_panel(spark, sf), "since"), SPEC)
     return p.select(E, Q, "inter_round_gap_missing", R(F.col("inter_round_gap_vs_cohort_z")).alias("gap_z"))
 
 
