@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import domain_key
 from tidemark.operators.skew import spread_join
 from tidemark.sources.contracts import PROXY_READ, PROXY_REQUIRED
 from tidemark.sources.tabular import glob_paths
@@ -79,14 +80,25 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.select(*cols, logical_file(F.col("_metadata.file_path")).alias("source_path"))
 
 
-def source_audit(rows: DataFrame, entity: str) -> DataFrame:
-    """Per source file: rows loaded, entities and domains matched. ``rows`` is already
-    joined to entities; the file type is the suffix of its path."""
-    return rows.groupBy("source_path").agg(
-        F.lower(F.regexp_extract(F.first("source_path"), r"\.([A-Za-z0-9]+)$", 1)).alias("source_type"),
-        F.count(F.lit(1)).alias("rows_loaded"),
-        F.countDistinct(entity).alias("matched_companies"),
-        F.countDistinct("website_domain").alias("matched_domains"),
+def source_audit(rows: DataFrame, domain_map: DataFrame, entity: str) -> DataFrame:
+    """Per source file: type, rows loaded, and the entities and domains it matches.
+
+    Rows are counted per (file, domain) before they meet the entities of a domain, of which
+    a shared domain may have very many.
+    """
+    keyed = rows.withColumn("website_domain", domain_key(F.col("website_domain")))
+    per_domain = keyed.groupBy("source_path", "website_domain").agg(F.count(F.lit(1)).alias("_rows"))
+    matched = spread_join(domain_map.select(entity, "website_domain"), per_domain, ["website_domain"], [entity])
+    reach = matched.groupBy("source_path").agg(
+        F.countDistinct(entity).alias("matched_companies"), F.countDistinct("website_domain").alias("matched_domains")
+    )
+    loaded = per_domain.groupBy("source_path").agg(F.sum("_rows").alias("rows_loaded"))
+    return loaded.join(reach, "source_path", "left").select(
+        "source_path",
+        F.lower(F.regexp_extract("source_path", r"\.([A-Za-z0-9]+)$", 1)).alias("source_type"),
+        "rows_loaded",
+        F.coalesce("matched_companies", F.lit(0)).alias("matched_companies"),
+        F.coalesce("matched_domains", F.lit(0)).alias("matched_domains"),
     )
 
 

@@ -44,18 +44,22 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return scrub_nans(df.select(*out))
 
 
-def read_csv_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; a missing file is an empty table of the same shape. Only the
-    wanted columns are parsed."""
+def read_csv_optional(
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True
+) -> DataFrame:
+    """CSV with a header; a missing file is an empty table of the same shape.
+
+    Cells may contain line breaks, and then a file can only be read by one task. For large
+    files known to have none, ``line_breaks=False`` lets Spark split them."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     # as text first: which columns exist is decided by the header, not by position
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return conform(raw, schema)
 
 
 def read_csv_directory(
-    spark: SparkSession, directory: str, schema: T.StructType, first_only: bool = False
+    spark: SparkSession, directory: str, schema: T.StructType, first_only: bool = False, line_breaks: bool = True
 ) -> DataFrame:
     """All CSV parts of a directory; ``first_only`` reads just the first by name. Parts may
     differ in their columns."""
@@ -63,7 +67,7 @@ def read_csv_directory(
     if not parts:
         return spark.createDataFrame([], schema)
     chosen = parts[:1] if first_only else parts
-    return reduce(DataFrame.unionByName, [read_csv_optional(spark, p, schema) for p in chosen])
+    return reduce(DataFrame.unionByName, [read_csv_optional(spark, p, schema, line_breaks) for p in chosen])
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

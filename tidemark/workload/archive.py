@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores
 from tidemark.operators import matching
 from tidemark.operators import snapshot_asof as A
-from tidemark.operators.skew import spread_join
 from tidemark.sources import proxy, snapshots, tabular
 from tidemark.sources.sinks import cut, stage_root, write_table
 from tidemark.workload import sql as S
 from tidemark.workload import standins as D
 
 E = "company_uuid"
+DAY = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+DAY_SQL = "strftime(cutoff_date, '%Y-%m-%d') AS cutoff_date"
+
+
+def _days(df):
+    """Dates as text, so that any client shows them alike."""
+    return df.withColumn("cutoff_date", DAY("cutoff_date"))
 
 
 def parse_listings(spark, sf):
-    return D.snapshots(spark, sf).select("website_domain", "timestamp", "original", "statuscode", "mimetype", "digest", "snapshot_dt")
+    return D.snapshots(spark, sf).select(
+        "website_domain", "timestamp", "original", "statuscode", "mimetype", "digest",
+        F.date_format("snapshot_dt", "yyyy-MM-dd HH:mm:ss").alias("snapshot_dt"),
+    )
 
 
-PARSE_LISTINGS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, "timestamp", original, '200' AS statuscode, mimetype, digest, dt AS snapshot_dt FROM snaps"""
+PARSE_LISTINGS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, "timestamp", original, '200' AS statuscode, mimetype, digest, strftime(dt, '%Y-%m-%d %H:%M:%S') AS snapshot_dt FROM snaps"""
 
 
 def query_log(spark, sf):
@@ -34,10 +43,10 @@ QUERY_LOG = f"""SELECT {S.domain('url')} AS website_domain, 200 AS cdx_http_stat
 
 
 def cutoff_rows(spark, sf):
-    return D.homepage_rows(spark, sf).drop("source_url")
+    return _days(D.homepage_rows(spark, sf).drop("source_url"))
 
 
-CUTOFF_ROWS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, cutoff_date, status AS homepage_archive_status, snapshot_timestamp, http_status,
+CUTOFF_ROWS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, {DAY_SQL}, status AS homepage_archive_status, snapshot_timestamp, http_status,
   final_url, CASE status WHEN 'archived_200' THEN '' WHEN 'stale_snapshot' THEN 'no_snapshot_within_730_days_before_cutoff'
     ELSE 'no_cdx_snapshot_before_cutoff' END AS failure_reason, 'wayback_cdx_list' AS archive_method, strength AS evidence_strength,
   CASE status WHEN 'archived_200' THEN '' WHEN 'stale_snapshot' THEN 'stale_archive' ELSE 'no_archive_hit' END AS failure_class,
@@ -45,19 +54,19 @@ CUTOFF_ROWS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, cutoff_date, status
 
 
 def crawl_summary(spark, sf):
-    return A.crawl_summary(D.homepage_rows(spark, sf))
+    return _days(A.crawl_summary(D.homepage_rows(spark, sf)))
 
 
-CRAWL_SUMMARY = f"""WITH {S.SNAPSHOTS} SELECT cutoff_date, count(*)::BIGINT AS rows, count(*) FILTER (WHERE status = 'archived_200')::BIGINT AS archived_200_rows,
+CRAWL_SUMMARY = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS rows, count(*) FILTER (WHERE status = 'archived_200')::BIGINT AS archived_200_rows,
   count(*) FILTER (WHERE status <> 'archived_200')::BIGINT AS missing_rows FROM proxy GROUP BY 1"""
 
 
 def conformance(spark, sf):
     c = proxy.conformance(D.homepage_rows(spark, sf).drop("final_url"), "cutoff_date")
-    return c.withColumn("archived_200_share", F.round("archived_200_share", 8))
+    return _days(c.withColumn("archived_200_share", F.round("archived_200_share", 8)))
 
 
-CONFORMANCE = f"""WITH {S.SNAPSHOTS} SELECT cutoff_date, count(*)::BIGINT AS rows, 'final_url' AS missing_required_columns,
+CONFORMANCE = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS rows, 'final_url' AS missing_required_columns,
   count(DISTINCT website_domain)::BIGINT AS unique_domains, round(avg((status = 'archived_200')::INTEGER), 8) AS archived_200_share FROM proxy GROUP BY 1"""
 
 
@@ -66,10 +75,10 @@ def homepage_flags(spark, sf):
     flag = scores.homepage_active(
         F.col("homepage_archive_status"), F.col("evidence_strength"), F.col("failure_class"), F.col("http_status")
     )
-    return rows.select("website_domain", "cutoff_date", flag.alias("active"), scores.evidence_strength(F.col("mimetype")).alias("by_type"))
+    return rows.select("website_domain", DAY("cutoff_date"), flag.alias("active"), scores.evidence_strength(F.col("mimetype")).alias("by_type"))
 
 
-HOMEPAGE_FLAGS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, cutoff_date, (status = 'archived_200')::INTEGER AS active,
+HOMEPAGE_FLAGS = f"""WITH {S.SNAPSHOTS} SELECT website_domain, {DAY_SQL}, (status = 'archived_200')::INTEGER AS active,
   CASE WHEN coalesce(starts_with(mimetype, 'text/html'), false) THEN 'strong' ELSE 'medium' END AS by_type FROM proxy"""
 
 
@@ -119,19 +128,15 @@ PROXY_FILES = f"""WITH {S.SNAPSHOTS} SELECT strftime(cutoff_date, '%Y-%m-%d') AS
 def source_audit(spark, sf):
     root = _tree(spark, sf)
     rows = proxy.read_proxy_files(spark, proxy.proxy_files(spark, [root]))
-    domains = matching.domain_entities(D.companies(spark, sf), E)
-    # entities of a domain are summed before they meet the rows of the domain
-    per_domain = domains.groupBy("website_domain").agg(F.count(F.lit(1)).alias("companies"))
-    joined = spread_join(rows, per_domain, ["website_domain"], ["source_path", "snapshot_timestamp"])
-    return joined.groupBy("source_path").agg(F.sum("companies").alias("rows_loaded"), F.countDistinct("website_domain").alias("matched_domains")).select(
-        F.regexp_extract("source_path", "cutoff=([^_/]+)", 1).alias("cutoff"),
-        F.regexp_extract("source_path", r"\.([a-z]+)$", 1).alias("source_type"), "rows_loaded", "matched_domains",
-    )
+    audit = proxy.source_audit(rows, matching.domain_entities(D.companies(spark, sf), E), E)
+    return audit.withColumn("cutoff", F.regexp_extract("source_path", "cutoff=([^_/]+)", 1)).drop("source_path")
 
 
 SOURCE_AUDIT = f"""WITH {S.COMPANIES}, {S.SNAPSHOTS}, cdom AS (SELECT DISTINCT company_uuid, {S.domain('website')} AS website_domain FROM companies)
   SELECT strftime(cutoff_date, '%Y-%m-%d') AS cutoff, CASE WHEN year(cutoff_date) < 2017 THEN 'csv' ELSE 'parquet' END AS source_type,
-  count(*)::BIGINT AS rows_loaded, count(DISTINCT website_domain)::BIGINT AS matched_domains FROM proxy JOIN cdom USING (website_domain) GROUP BY 1, 2"""
+  count(DISTINCT website_domain)::BIGINT AS rows_loaded, count(DISTINCT company_uuid)::BIGINT AS matched_companies,
+  count(DISTINCT CASE WHEN company_uuid IS NOT NULL THEN website_domain END)::BIGINT AS matched_domains
+  FROM proxy LEFT JOIN cdom USING (website_domain) GROUP BY 1, 2"""
 
 
 def csv_round_trip(spark, sf):
@@ -147,10 +152,11 @@ def csv_round_trip(spark, sf):
             T.StructField("o_totalprice", T.DoubleType()), T.StructField("o_clerk", T.StringType()),
         ]
     )
-    return tabular.read_csv_optional(spark, root, wanted)
+    back = tabular.read_csv_optional(spark, root, wanted)
+    return back.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
-CSV_ROUND_TRIP = "SELECT o_orderkey, o_orderdate, o_totalprice, NULL::VARCHAR AS o_clerk FROM orders"
+CSV_ROUND_TRIP = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_totalprice, NULL::VARCHAR AS o_clerk FROM orders"
 
 
 QUERIES = {

@@ -21,11 +21,11 @@ def tolerant_casts(spark, sf):
     e = D.table(spark, sf, "events")
     stamp = F.when(F.col("event_type") == "error", "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     number = F.when(F.col("event_type") == "click", "x").otherwise(F.regexp_extract("props", r"(\d+)", 1))
-    return e.select("event_id", nulls.to_timestamp_utc(stamp).alias("seen"), nulls.to_number(number).alias("k"))
+    return e.select("event_id", F.date_format(nulls.to_timestamp_utc(stamp), "yyyy-MM-dd HH:mm:ss").alias("seen"), nulls.to_number(number).alias("k"))
 
 
 TOLERANT_CASTS = r"""SELECT event_id,
-  CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S')::TIMESTAMP END AS seen,
+  CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS seen,
   CASE WHEN event_type <> 'click' THEN try_cast(regexp_extract(props, '(\d+)', 1) AS DOUBLE) END AS k FROM events"""
 
 
