@@ -112,3 +112,28 @@ def test_streamed_ingest_resumes_and_skips_finished_domains(spark, tmp_path):
         ("a.com", "2011-12-31"): "archived_200", ("a.com", "2012-12-31"): "archived_200", ("b.com", "2011-12-31"): "request_error",
         ("b.com", "2012-12-31"): "request_error", ("c.com", "2011-12-31"): "missing", ("c.com", "2012-12-31"): "archived_200",
     }
+
+
+def test_crawl_takes_up_where_it_stopped(spark, tmp_path):
+    from tidemark.plans.crawl import build_proxy
+
+    companies = spark.createDataFrame(
+        [("c1", "http://a.com", None), ("c2", "www.a.com/x", None), ("c3", "b.com", None), ("c4", "none", None)],
+        "company_uuid string, website string, founded_on timestamp_ntz",
+    )
+    schema = snapshots.LISTING_SCHEMA
+    first = spark.createDataFrame([("a.com", 200, listing("20110601000000"), "")], schema)
+    later = spark.createDataFrame([("a.com", 200, listing("20120601000000"), ""), ("b.com", 200, "[]", ""), ("z.com", 200, "[]", "")], schema)
+    cutoffs = ["2011-12-31", "2014-12-31"]
+    a = build_proxy(spark, companies, first, str(tmp_path / "t"), cutoffs)
+    assert [r.website_domain for r in a.remaining.collect()] == ["b.com"]
+    b = build_proxy(spark, companies, later, str(tmp_path / "t"), cutoffs)
+    got = {(r.website_domain, str(r.cutoff_date)): r.homepage_archive_status for r in b.rows.collect()}
+    assert got == {
+        ("a.com", "2011-12-31"): "archived_200", ("a.com", "2014-12-31"): "stale_snapshot",
+        ("b.com", "2011-12-31"): "missing", ("b.com", "2014-12-31"): "missing",
+    }
+    assert b.remaining.count() == 0
+    assert {(str(r.cutoff_date), r.rows, r.archived_200_rows) for r in b.summary.collect()} == {("2011-12-31", 2, 1), ("2014-12-31", 2, 0)}
+    assert {r.missing_required_columns for r in b.validation.collect()} == {""}
+    assert spark.read.parquet(str(tmp_path / "t" / "domain_company_mapping")).count() == 3
