@@ -7,15 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import read
 from tidemark.llm.license_scan import license_report
 from tidemark.llm.mixing import mixed_sizes
+from tidemark.llm.ngram_join import ngram_jaccard
 from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.personal_data import personal_data
 from tidemark.llm.quality import apply_policy, quality_ledger
 from tidemark.llm.secret_scan import secret_report
+from tidemark.llm.vector_dedup import near_duplicate_vectors
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(read(spark, sf_dir, "documents"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
 
@@ -33,11 +44,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mixing": op3_source_mixing,
+    "op4_vector_dedup": op4_vector_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
