@@ -12,6 +12,7 @@ from tidemark.llm.packing import best_fit_packing
 from tidemark.llm.personal_data import personal_data
 from tidemark.llm.quality import apply_policy, quality_ledger
 from tidemark.llm.secret_scan import secret_report
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.vector_dedup import near_duplicate_vectors
 
 
@@ -44,6 +45,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
