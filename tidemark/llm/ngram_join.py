@@ -347,9 +347,13 @@ def ngram_jaccard(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``docs`` with one document per group of linked ones, that with the smallest id; the
-    first row where an id repeats. Documents without words stay."""
-    groups = ngram_jaccard(docs.select("doc_id", "text"), width)
-    kept = groups.filter("n_shingles = 0 or doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept"), "n_shingles").distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return joined
+    """``docs`` with one document per group of linked ones, that with the smallest id, and
+    one row of equal texts under one id. Documents without words and rows without an id,
+    which cannot be told apart, stay."""
+    known = docs.filter("doc_id is not null")
+    groups = ngram_jaccard(known.select("doc_id", "text"), width)
+    kept = groups.filter("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    first = known.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return first.select(*columns).unionByName(docs.filter("doc_id is null").select(*columns))
