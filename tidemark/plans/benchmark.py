@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,19 @@ from tidemark.operators import audit, availability, gates, labels, metrics, rank
 from tidemark.plans import features, modelling
 from tidemark.plans.panel import PanelInputs
 from tidemark.sources.contracts import contract
-from tidemark.sources.sinks import cut, stage, write_table
+from tidemark.sources.sinks import Cuts, cut, stage, write_table
 from tidemark.sources.tabular import read_csv_directory, read_csv_optional
 
 
-def read_inputs(spark: SparkSession, root: str, homepage_rows: DataFrame | None = None) -> PanelInputs:
-    """The eight input tables from a folder of CSV files (deals from folders of parts)."""
+def read_inputs(spark: SparkSession, root: str, homepage_rows: DataFrame | None = None, line_breaks: bool = False) -> PanelInputs:
+    """The eight input tables from a folder of CSV files (deals from folders of parts).
+    ``line_breaks`` is for files whose cells contain line breaks."""
 
     def one(table: str) -> DataFrame:
-        return read_csv_optional(spark, posixpath.join(root, f"{table}.csv"), contract(table))
+        return read_csv_optional(spark, posixpath.join(root, f"{table}.csv"), contract(table), line_breaks)
 
     def parts(table: str) -> DataFrame:
-        return read_csv_directory(spark, posixpath.join(root, table), contract(table))
+        return read_csv_directory(spark, posixpath.join(root, table), contract(table), line_breaks)
 
     return PanelInputs(
         one("companies"), one("funding_rounds"), one("acquisitions"), one("ipos"), parts("vc_deals"),
@@ -38,6 +40,27 @@ class Benchmark:
     frame: DataFrame
     predictions: DataFrame
     tables: dict[str, DataFrame]
+    scratch: Cuts | None = None
+
+
+def frame_key(inputs: PanelInputs, spec: PanelSpec, input_version: str, options: Mapping[str, object]) -> str:
+    """Names a model frame by everything that shapes it: settings, data version, which
+    tables there are, and the panel options by their text (expressions print as they are)."""
+    tables = sorted(name for name, table in vars(inputs).items() if table is not None)
+    parts = [spec.fingerprint(), input_version, *tables, *(f"{name}={_text(value)}" for name, value in sorted(options.items()))]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:24]
+
+
+def _text(value: object) -> str:
+    if isinstance(value, DataFrame):
+        return f"{value.schema.simpleString()}#{value.semanticHash()}"
+    if is_dataclass(value):
+        return _text(vars(value))
+    if isinstance(value, Mapping):
+        return str({k: _text(v) for k, v in sorted(value.items())})
+    if isinstance(value, (list, tuple)):
+        return str([_text(v) for v in value])
+    return str(value)
 
 
 def run_benchmark(
@@ -47,17 +70,25 @@ def run_benchmark(
 ) -> Benchmark:
     """Build the frame, fit and score every model and variant, and derive the reports.
 
-    The frame and the predictions are stage tables: the first is named by the settings and
-    ``input_version`` (a name the caller changes with the data), so a rerun picks it up.
+    The frame is a stage table named by the settings, the options and ``input_version`` (a
+    name the caller changes with the data): a rerun picks it up and builds nothing. Tables
+    that only this run needs are listed in ``scratch``; ``write_results`` removes them.
     """
+    with Cuts() as scratch:
+        result = _benchmark(spark, inputs, spec, input_version, models, n_boot, max_train_rows, check_placebo, panel_options)
+    result.scratch = scratch
+    return result
+
+
+def _benchmark(spark, inputs, spec, input_version, models, n_boot, max_train_rows, check_placebo, panel_options) -> Benchmark:
     key = [spec.entity, spec.period]
-    built = features.model_frame(inputs, spec, **panel_options)
-    frame = stage(spark, "model-frame", f"{spec.fingerprint()}-{input_version}", lambda: built.frame)
+    named = frame_key(inputs, spec, input_version, panel_options)
+    frame = stage(spark, "model-frame", named, lambda: features.model_frame(inputs, spec, **panel_options).frame)
     train, test = (frame.filter(F.col("split") == s) for s in ("train", "test"))
 
     usable = {fam: availability.present_columns(frame, cols) for fam, cols in features.FAMILIES.items()}
     models = modelling.model_specs() if models is None else models
-    swept = modelling.sweep(train, test, spec, models, modelling.feature_sets(usable), max_train_rows)
+    swept = modelling.sweep(train, test, spec, models, modelling.variants(usable), max_train_rows)
     predictions = cut(swept.unionByName(modelling.hazard_baseline(train, test, spec)), "predictions")
 
     scored = cut(metrics.metric_rows(predictions, spec.label, key), "metrics")
@@ -69,7 +100,7 @@ def run_benchmark(
     out_of_time = frame.filter(F.col("split").isin("validation", "test"))
     screened = list(dict.fromkeys([f for fs in usable.values() for f in fs] + features.BASELINE_NUMERIC))
     tables = {
-        "feature_availability": availability.availability(frame, features.FAMILIES, built.blocked).orderBy("position"),
+        "feature_availability": availability.availability(frame, features.FAMILIES, features.blocked_families(inputs)).orderBy("position"),
         "residual_rank_ic": rank_ic.residual_rank_ic(out_of_time, screened, spec.label),
         "metrics": scored,
         "promotion_gates": promotion,
@@ -92,3 +123,5 @@ def write_results(result: Benchmark, root: str, fmt: str = "parquet") -> None:
     for name, table in result.tables.items():
         write_table(table, posixpath.join(root, name), fmt)
     write_table(result.predictions, posixpath.join(root, "predictions"), fmt, ("model", "variant"))
+    if result.scratch is not None:
+        result.scratch.delete(result.frame.sparkSession)

@@ -9,16 +9,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.tabular import path_exists
+from tidemark.sources.tabular import path_exists, remove_path
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for stage tables: the cluster's checkpoint folder. Only a session
-    without one (a test) gets a temporary folder, once."""
+    """Shared folder for stage tables: the cluster's checkpoint folder. A session in one
+    process gets a temporary folder, once; on more machines the executors would each write
+    to their own disk, so a cluster without a checkpoint folder is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidemark-stages-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -41,20 +44,45 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write a frame that several jobs will read and return the written table. Columnar,
     so later readers prune columns and push filters down; survives lost executors."""
     spark = df.sparkSession
-    return stage(spark, name, uuid.uuid4().hex, lambda: df)
+    key = uuid.uuid4().hex
+    _open_cuts.append(posixpath.join(stage_root(spark), f"{name}-{key}"))
+    return stage(spark, name, key, lambda: df)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
+_open_cuts: list[str] = []
+
+
+class Cuts:
+    """Paths of the tables that :func:`cut` wrote inside a ``with``; ``delete`` removes them
+    once nothing built on them will be read again."""
+
+    def __enter__(self) -> Cuts:
+        self._start, self.paths = len(_open_cuts), []
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.paths = _open_cuts[self._start :]
+        del _open_cuts[self._start :]
+
+    def delete(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            remove_path(spark, path)
+        self.paths = []
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     """One result table as a directory of parts."""
-    writer = df.write.mode("overwrite").partitionBy(*partition_by)
+    writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         writer = writer.option("header", True).option("emptyValue", "")
     writer.format(fmt).save(path)
 
 
-def write_crawl_tree(rows: DataFrame, domain_map: DataFrame, root: str, fmt: str = "parquet") -> None:
+def write_crawl_tree(rows: DataFrame, domain_map: DataFrame, root: str, fmt: str = "parquet", append: bool = False) -> None:
     """Proxy rows by cutoff, with the domain map and the domain list written once. Ranges of
-    (cutoff, domain) keep each task to one or two cutoff folders of even size."""
-    write_table(rows.repartitionByRange("cutoff_date", "website_domain"), posixpath.join(root, "proxy"), fmt, ("cutoff_date",))
+    (cutoff, domain) keep each task to one or two cutoff folders of even size. ``append``
+    adds the rows to those already there."""
+    spread = rows.repartitionByRange("cutoff_date", "website_domain")
+    write_table(spread, posixpath.join(root, "proxy"), fmt, ("cutoff_date",), "append" if append else "overwrite")
     write_table(domain_map, posixpath.join(root, "domain_company_mapping"), fmt)
     write_table(domain_map.select("website_domain").distinct(), posixpath.join(root, "domains"), fmt)
