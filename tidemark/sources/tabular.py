@@ -24,6 +24,11 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found is not None else []
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The wanted columns in the wanted order: present ones cast tolerantly, absent ones
     NULL, others dropped."""
@@ -45,12 +50,12 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_csv_optional(
-    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False
 ) -> DataFrame:
     """CSV with a header; a missing file is an empty table of the same shape.
 
-    Cells may contain line breaks, and then a file can only be read by one task. For large
-    files known to have none, ``line_breaks=False`` lets Spark split them."""
+    Spark splits a file over many tasks. Cells that contain line breaks need
+    ``line_breaks=True``, and then one task reads the whole file."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     # as text first: which columns exist is decided by the header, not by position
@@ -59,15 +64,13 @@ def read_csv_optional(
 
 
 def read_csv_directory(
-    spark: SparkSession, directory: str, schema: T.StructType, first_only: bool = False, line_breaks: bool = True
+    spark: SparkSession, directory: str, schema: T.StructType, line_breaks: bool = False
 ) -> DataFrame:
-    """All CSV parts of a directory; ``first_only`` reads just the first by name. Parts may
-    differ in their columns."""
+    """All CSV parts of a directory, which may differ in their columns."""
     parts = glob_paths(spark, directory.rstrip("/") + "/*.csv")
     if not parts:
         return spark.createDataFrame([], schema)
-    chosen = parts[:1] if first_only else parts
-    return reduce(DataFrame.unionByName, [read_csv_optional(spark, p, schema, line_breaks) for p in chosen])
+    return reduce(DataFrame.unionByName, [read_csv_optional(spark, p, schema, line_breaks) for p in parts])
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
