@@ -28,7 +28,7 @@ def test_csv_optional(spark, tmp_path):
     missing = tabular.read_csv_optional(spark, str(tmp_path / "none.csv"), SCHEMA)
     assert missing.schema == SCHEMA and missing.count() == 0
     put(str(tmp_path / "x.csv"), 'extra,n,a\n1,2.5,"one\ntwo"\n2,bad,b\n')
-    got = tabular.read_csv_optional(spark, str(tmp_path / "x.csv"), SCHEMA)
+    got = tabular.read_csv_optional(spark, str(tmp_path / "x.csv"), SCHEMA, line_breaks=True)
     assert got.columns == ["a", "n", "d"]
     assert sorted(map(tuple, got.collect())) == [("b", None, None), ("one\ntwo", 2.5, None)]
 
@@ -38,11 +38,17 @@ def test_csv_directory(spark, tmp_path):
     put(str(tmp_path / "p" / "2.csv"), "d,a\n2011-01-01,y\n")
     all_parts = tabular.read_csv_directory(spark, str(tmp_path / "p"), SCHEMA)
     assert sorted(r.a for r in all_parts.collect()) == ["x", "y"]
-    first = tabular.read_csv_directory(spark, str(tmp_path / "p"), SCHEMA, first_only=True)
-    assert [r.a for r in first.collect()] == ["x"]
     assert tabular.read_csv_directory(spark, str(tmp_path / "q"), SCHEMA).count() == 0
 
 
+def test_failed_listings_are_errors(spark):
+    rows = [("a.com", 503, None, ""), ("b.com", 200, "<html>", ""), ("c.com", 200, "[]", ""), ("d.com", 200, None, "timeout"), ("e.com", None, None, "")]
+    log = snapshots.query_log(spark.createDataFrame(rows, snapshots.LISTING_SCHEMA))
+    assert {r.website_domain: r.error for r in log.collect()} == {
+        "a.com": "http_status_503", "b.com": "unreadable_listing", "c.com": "", "d.com": "timeout", "e.com": "",
+    }
+
+
 def test_stage_is_built_once_per_key(spark, tmp_path):
     calls = []
 
@@ -134,6 +140,11 @@ def test_crawl_takes_up_where_it_stopped(spark, tmp_path):
         ("b.com", "2011-12-31"): "missing", ("b.com", "2014-12-31"): "missing",
     }
     assert b.remaining.count() == 0
+    # other cutoffs later: rows only for what is not there yet, none twice
+    c = build_proxy(spark, companies, later, str(tmp_path / "t"), [*cutoffs, "2012-12-31"])
+    again = build_proxy(spark, companies, later, str(tmp_path / "t"), cutoffs[:1])
+    assert c.remaining.count() == 0 and again.remaining.count() == 0
+    assert again.rows.count() == again.rows.select("website_domain", "cutoff_date").distinct().count() == 6
     assert {(str(r.cutoff_date), r.rows, r.archived_200_rows) for r in b.summary.collect()} == {("2011-12-31", 2, 1), ("2014-12-31", 2, 0)}
     assert {r.missing_required_columns for r in b.validation.collect()} == {""}
     assert spark.read.parquet(str(tmp_path / "t" / "domain_company_mapping")).count() == 3

@@ -130,8 +130,8 @@ def crawl_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def domain_queue(companies: DataFrame, limit: int | None = None) -> DataFrame:
-    """Distinct usable domains in order; ``limit`` is the smoke mode of the crawl."""
+def domain_queue(companies: DataFrame) -> DataFrame:
+    """Distinct usable domains in order."""
     from tidemark.functions.text import domain_key
 
     queue = (
@@ -139,18 +139,19 @@ def domain_queue(companies: DataFrame, limit: int | None = None) -> DataFrame:
         .filter(F.col("website_domain") != "")
         .distinct()
     )
-    ordered = queue.orderBy("website_domain")
-    return ordered if limit is None else ordered.limit(limit)
+    return queue.orderBy("website_domain")
 
 
-def domains_done(rows: DataFrame, n_cutoffs: int) -> DataFrame:
-    """Domains with a row for every cutoff; error rows count as done."""
-    counted = rows.groupBy("website_domain").agg(F.countDistinct("cutoff_date").alias("n"))
-    return counted.filter(F.col("n") == n_cutoffs).select("website_domain")
+def domains_done(rows: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    """Domains with a row for each of the cutoffs; rows for others do not count, error rows
+    do."""
+    wanted = rows.filter(F.col("cutoff_date").cast("date").isin([F.lit(c).cast("date") for c in cutoffs]))
+    counted = wanted.groupBy("website_domain").agg(F.countDistinct("cutoff_date").alias("n"))
+    return counted.filter(F.col("n") == len(set(cutoffs))).select("website_domain")
 
 
-def domains_to_do(queue: DataFrame, rows: DataFrame, n_cutoffs: int) -> DataFrame:
-    return queue.join(domains_done(rows, n_cutoffs), "website_domain", "left_anti")
+def domains_to_do(queue: DataFrame, rows: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    return queue.join(domains_done(rows, cutoffs), "website_domain", "left_anti")
 
 
 def activity_by_period(

@@ -37,24 +37,25 @@ def domain_company_mapping(companies: DataFrame, entity: str = "company_uuid") -
 
 def build_proxy(
     spark: SparkSession, companies: DataFrame, listings: DataFrame, root: str,
-    cutoffs: Sequence[str] = ANNUAL_CUTOFFS, smoke_domains: int | None = None,
+    cutoffs: Sequence[str] = ANNUAL_CUTOFFS,
 ) -> Crawl:
-    """Rows for every queued domain that has a listing, added to those already under
-    ``root``. Finished domains are not taken again; domains still without a listing remain
-    in the queue. ``smoke_domains`` restricts the queue for a trial crawl."""
-    queue = domain_queue(companies, smoke_domains)
+    """Rows for every queued domain that has a listing and every cutoff it has no row for
+    yet, added to those already under ``root``. Domains that have all ``cutoffs`` are not
+    taken again; those still without a listing remain in the queue."""
+    queue = domain_queue(companies)
     done = posixpath.join(root, "proxy")
     earlier = spark.read.parquet(done) if path_exists(spark, posixpath.join(done, "_SUCCESS")) else None
-    todo = queue if earlier is None else domains_to_do(queue, earlier, len(cutoffs))
+    todo = queue if earlier is None else domains_to_do(queue, earlier, cutoffs)
     once = first_row_per_key(
-        listings.join(todo, "website_domain", "left_semi"), ["website_domain"], order_key("error", "payload", "cdx_http_status")
+        listings.join(todo, "website_domain", "left_semi"), ["website_domain"], order_key("error", F.md5(F.col("payload").cast("binary")), "cdx_http_status")
     )
     taken = cut(once, "listings")
     log = query_log(taken)
     rows = cutoff_rows(log, parse_listings(taken), cutoffs, log=log)
     if earlier is not None:
-        rows = earlier.unionByName(rows, allowMissingColumns=True)
-    # written apart first: the tree that is about to be replaced is one of the inputs
-    rows = cut(rows, "proxy-rows")
-    write_crawl_tree(rows, domain_company_mapping(companies), root)
-    return Crawl(rows, crawl_summary(rows), conformance(rows, "cutoff_date"), domains_to_do(queue, rows, len(cutoffs)))
+        rows = rows.join(earlier.select("website_domain", "cutoff_date"), ["website_domain", "cutoff_date"], "left_anti")
+        # written apart first: the folder that is added to is one of the inputs
+        rows = cut(rows, "proxy-rows")
+    write_crawl_tree(rows, domain_company_mapping(companies), root, append=earlier is not None)
+    rows = spark.read.parquet(done)
+    return Crawl(rows, crawl_summary(rows), conformance(rows, "cutoff_date"), domains_to_do(queue, rows, cutoffs))

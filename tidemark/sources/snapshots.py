@@ -61,8 +61,23 @@ def parse_listings(listings: DataFrame) -> DataFrame:
     return named.withColumn("snapshot_dt", snapshot_time(F.col("timestamp"))).filter(F.col("snapshot_dt").isNotNull())
 
 
+def listing_error() -> Column:
+    """What is wrong with a response: the stated error, a status that is not a success, or a
+    body that is not a listing. Empty for a listing, also for one without snapshots."""
+    status, body = F.col("cdx_http_status"), F.trim(F.coalesce("payload", F.lit("")))
+    failed = status.isNotNull() & ~status.between(200, 299)
+    grid = F.from_json("payload", "array<array<string>>")
+    return (
+        F.when(F.coalesce("error", F.lit("")) != "", F.col("error"))
+        .when(failed, F.concat(F.lit("http_status_"), status.cast("string")))
+        .when((body != "") & grid.isNull(), "unreadable_listing")
+        .otherwise("")
+    )
+
+
 def query_log(listings: DataFrame) -> DataFrame:
-    """One row per queried domain: status, usable snapshots in the response, error."""
+    """One row per queried domain: status, usable snapshots in the response, whether the
+    listing reached its limit and so may lack snapshots, error."""
     grid = F.from_json("payload", "array<array<string>>")
     at = F.array_position(grid[0], "timestamp").cast("int")
     usable = F.filter(
@@ -74,5 +89,6 @@ def query_log(listings: DataFrame) -> DataFrame:
         listing_url(F.col("website_domain")).alias("source_url"),
         F.coalesce("cdx_http_status", F.lit(0)).alias("cdx_http_status"),
         F.when(F.size(grid) > 1, F.size(usable)).otherwise(0).alias("snapshot_rows"),
-        F.coalesce("error", F.lit("")).alias("error"),
+        listing_error().alias("error"),
+        (F.coalesce(F.size(grid), F.lit(0)) > LISTING_LIMIT).alias("truncated"),
     )

@@ -19,7 +19,7 @@ from tidemark.sources.snapshots import LISTING_SCHEMA, parse_listings, query_log
 from tidemark.sources.tabular import glob_paths
 
 LOG_SCHEMA = (
-    "website_domain string, source_url string, cdx_http_status int, snapshot_rows int, error string, batch long"
+    "website_domain string, source_url string, cdx_http_status int, snapshot_rows int, error string, truncated boolean, batch long"
 )
 SNAPSHOT_SCHEMA = (
     "website_domain string, timestamp string, original string, statuscode string, mimetype string, digest string,"
@@ -48,7 +48,7 @@ def ingest_listings(spark: SparkSession, staged: str, out: str, checkpoint: str,
     def take(batch: DataFrame, batch_id: int) -> None:
         done = taken_log(spark, out).filter(F.col("batch") != batch_id).select("website_domain")
         fresh = batch.join(done, "website_domain", "left_anti")
-        fresh = first_row_per_key(fresh, ["website_domain"], order_key("error", "payload", "cdx_http_status")).persist()
+        fresh = first_row_per_key(fresh, ["website_domain"], order_key("error", F.md5(F.col("payload").cast("binary")), "cdx_http_status")).persist()
         for name, rows in (("snapshots", parse_listings(fresh)), ("log", query_log(fresh))):
             rows.write.mode("overwrite").parquet(posixpath.join(out, name, f"batch={batch_id}"))
         fresh.unpersist()

@@ -92,7 +92,7 @@ DOMAIN_QUEUE = f"""WITH {S.COMPANIES} SELECT DISTINCT {S.domain('website')} AS w
 def domains_to_do(spark, sf):
     """If cutoffs without any snapshot had been left out, which domains would lack rows."""
     finished = D.homepage_rows(spark, sf).filter(F.col("homepage_archive_status") != "missing")
-    return A.domains_to_do(D.page_domains(spark, sf), finished, len(D.CUTOFFS))
+    return A.domains_to_do(D.page_domains(spark, sf), finished, D.CUTOFFS)
 
 
 DOMAINS_TO_DO = f"""WITH {S.SNAPSHOTS} SELECT website_domain FROM doms WHERE website_domain NOT IN (
