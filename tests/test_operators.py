@@ -242,7 +242,7 @@ def test_capped_rows_have_the_exact_size(spark, scored):
     assert sorted(r[0] for r in a.select("y").collect()).count(1) == min(events, 300) and a.count() == 600
     b = sampling.cap_training_rows(df.repartition(11), "y", ["e", "q"], max_rows=600)
     assert rows(a.select("e", "q")) == rows(b.select("e", "q"))
-    assert sampling.cap_sizes(5, 0, 3) == (3, 0) and sampling.cap_sizes(10, 10, 30) == (10, 10)
+    assert sampling.quota(5, 0, 3) == {1: 3, 0: 0} and sampling.quota(10, 10, 30) == {1: 10, 0: 10} and sampling.quota(100, 10, 50) == {1: 25, 0: 10}
 
 
 def test_snapshot_window_edges(spark):
