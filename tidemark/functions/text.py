@@ -8,9 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal-form words that never help to tell two names apart.
-LEGAL_WORDS = (
-    "inc llc ltd limited corp corporation co company plc gmbh sa sas ag"
-).split()
+LEGAL_WORDS = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "sa", "sas", "ag"]
 
 # Sector keywords; the first sector with a hit wins.
 SECTOR_KEYWORDS = {

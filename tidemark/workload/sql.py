@@ -3,11 +3,19 @@ windows sort everything. It only has to be right on small tables."""
 
 from __future__ import annotations
 
-from tidemark.functions.text import LEGAL_WORDS, SECTOR_KEYWORDS
 from tidemark.workload.standins import CUTOFFS
 
 Q = "quarter_idx"
 
+# Fixed values, stated apart from the code under test so that a fault there shows.
+LEGAL_WORDS = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "sa", "sas", "ag"]
+SECTOR_KEYWORDS = {
+    "software": ["software", "saas", "cloud", "data", "ai ", "artificial intelligence"],
+    "healthcare": ["health", "medical", "biotech", "pharma", "therapeutic"],
+    "financial": ["financ", "bank", "payment", "insur", "lending", "credit"],
+    "energy": ["energy", "solar", "battery", "climate", "carbon"],
+}
+
 
 def quarter(d: str) -> str:
     return f"(year({d}) * 4 + quarter({d}) - 1)::INTEGER"
