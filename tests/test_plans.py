@@ -41,6 +41,21 @@ def test_no_pairwise_or_single_task_plans(spark):
             assert bad not in text, bad
 
 
+def test_top_k_is_cut_before_the_shuffle_at_any_k(spark):
+    pred = cut(D.predictions(spark, SF, cut(D.labelled_spine(spark, SF))))
+    for k in (10, 5000):
+        top = skew.top_k(pred, ["model", "variant"], k, [F.desc("score"), F.asc(SPEC.entity)], [SPEC.entity])
+        assert plan(top).count("WindowGroupLimit") >= 2, k
+
+
+def test_rows_with_unknown_keys_are_spread(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"))
+    right = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    joined = skew.spread_join(left.repartition(4), right.hint("shuffle_merge"), ["k"], ["id"], "left")
+    held = [r["n"] for r in joined.filter("k is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 3600 and max(held) < 1800
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(D.ipos(spark, SF).select("company_uuid"))
     assert "PushedFilters: [IsNotNull(o_orderpriority)" in text
@@ -60,8 +75,9 @@ def test_whole_benchmark(spark, tmp_path):
     assert variants >= 8 and found["promotion_gates"] == variants == found["final_summary"]
     assert found["predictions"] == variants * 239
     assert found["feature_availability"] == 56 and found["partner_audit"] == 1
+    scored = spark.read.parquet(str(tmp_path / "out" / "metrics"))
     hazard, logistic = (
-        result.tables["metrics"].filter((F.col("model") == m) & (F.col("variant") == "baseline")).drop("model").first()
+        scored.filter((F.col("model") == m) & (F.col("variant") == "baseline")).drop("model").first()
         for m in ("binary_hazard_route", "logistic_regression")
     )
     assert abs(hazard.roc_auc - logistic.roc_auc) < 0.02

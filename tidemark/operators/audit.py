@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import PanelSpec
 from tidemark.operators.metrics import MODEL, top_rows
+from tidemark.sources.sinks import cut
 
 AUDIT_MEANS = ("preqin_institutional_confirmation", "crosswalk_matched_asof", "enterprise_value_missing_flag")
 AUDIT_MEDIANS = (
@@ -61,21 +62,21 @@ def audited_top(
 ) -> DataFrame:
     """The best k rows with the panel columns an auditor needs.
 
-    The selection holds at most ``max(ks)`` rows per fitted model, which bounds what is
-    broadcast; the panel is filtered by it in place and never shuffled.
+    The selection is written once and read three times. It holds at most ``max(ks)`` rows per
+    fitted model; whether that is broadcast is left to its measured size.
     """
     key = [spec.entity, spec.period]
-    top = top_rows(pred.select(*groups, *key, spec.label, "score"), max(ks), key, groups)
+    top = cut(top_rows(pred.select(*groups, *key, spec.label, "score"), max(ks), key, groups), "audited-top")
     have = [c for c in (*AUDIT_MEANS, *AUDIT_MEDIANS) if c in panel.columns]
     facts = (
         panel.filter(F.col("split") == "test")
         .select(*key, "exit_q", "company_exit_route", *have)
-        .join(F.broadcast(top.select(*key).distinct()), key, "left_semi")
+        .join(top.select(*key).distinct(), key, "left_semi")
     )
     seen = (
         panel.filter(F.col("split") == "train")
         .select(spec.entity)
-        .join(F.broadcast(top.select(spec.entity).distinct()), spec.entity, "left_semi")
+        .join(top.select(spec.entity).distinct(), spec.entity, "left_semi")
         .distinct()
         .withColumn("company_seen_in_train", F.lit(1))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import digest_uniform, key_digest, poisson_one
 from tidemark.functions.text import percent, percent_interval
 from tidemark.operators.metrics import MODEL, top_rows
+from tidemark.sources.sinks import cut
 
 BASELINE = "baseline"
 PLACEBO = "baseline_plus_noise_placebo"
@@ -42,13 +43,24 @@ def bootstrap_precision(
 
     Each row is drawn Poisson(1) times per replicate, decided by a hash of the row and the
     replicate, so all variants of one replicate share the same resample. Only rows near the
-    top can enter: the best ``k + margin`` rows are kept, and a replicate they could not
-    fill fails the query rather than giving a wrong value. ``cluster_by`` (for instance the
-    entity) draws whole clusters.
+    top can enter: the best ``k + margin`` rows are kept, and if they cannot fill every
+    replicate, the margin is widened until they do or all rows are kept. ``cluster_by`` (for
+    instance the entity) draws whole clusters.
     """
     margin = 10 * math.ceil(math.sqrt(k)) + 50 if margin is None else margin
-    depth = k + margin
     slim = pred.select(*MODEL, *key, label, "score")
+    while True:
+        filled = cut(_replicates(slim, label, key, k, n_boot, seed, cluster_by, k + margin), "bootstrap")
+        if not filled.filter((F.col("drawn") < k) & (F.col("kept") >= k + margin)).head(1):
+            break
+        margin = 2 * margin + k
+    return filled.select(*MODEL, "replicate", F.try_divide("hits", "drawn").alias("precision"))
+
+
+def _replicates(
+    slim: DataFrame, label: str, key: Sequence[str], k: int, n_boot: int, seed: int, cluster_by: Sequence[str] | None, depth: int
+) -> DataFrame:
+    """Hits and rows drawn per (model, variant, replicate) from the best ``depth`` rows."""
     top = top_rows(slim, depth, key)
     unit = [F.col(c) for c in (cluster_by or key)]
     draws = top.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
@@ -56,12 +68,9 @@ def bootstrap_precision(
     ordered = Window.partitionBy(*MODEL, "replicate").orderBy("top_rank").rowsBetween(Window.unboundedPreceding, 0)
     drawn = draws.withColumn("w", weight).withColumn("upto", F.sum("w").over(ordered))
     used = F.greatest(F.lit(0), F.least(F.col("w"), F.lit(k) - (F.col("upto") - F.col("w"))))
-    filled = drawn.groupBy(*MODEL, "replicate").agg(
+    return drawn.groupBy(*MODEL, "replicate").agg(
         F.sum(used * F.col(label)).alias("hits"), F.sum(used).alias("drawn"), F.max("top_rank").alias("kept")
     )
-    short = (F.col("drawn") < k) & (F.col("kept") >= depth)
-    guard = F.when(short, F.raise_error(F.lit("bootstrap replicate not filled: raise margin")).cast("double"))
-    return filled.select(*MODEL, "replicate", F.coalesce(guard, F.try_divide("hits", "drawn")).alias("precision"))
 
 
 def bootstrap_deltas(replicates: DataFrame, baseline: str = BASELINE) -> DataFrame:

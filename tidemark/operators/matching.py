@@ -106,8 +106,7 @@ def listed_twice(ledger: DataFrame) -> DataFrame:
 
 
 def fan_out(entities: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Entities, deals and the number of pairs each shared key would produce. Read this
-    before asking for the pair list."""
+    """Entities, deals and the number of pairs that each shared key stands for."""
     e = usable(entities, keys).select(*keys, F.lit(1).cast("long").alias("e"), F.lit(0).cast("long").alias("d"))
     d = usable(ledger, keys).select(*keys, F.lit(0).cast("long").alias("e"), F.col("copies").alias("d"))
     counted = e.unionByName(d).groupBy(*keys).agg(F.sum("e").alias("entities"), F.sum("d").alias("deals"))
@@ -116,22 +115,6 @@ def fan_out(entities: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def match_pairs(entities: DataFrame, deals: DataFrame, keys: list[str], method: str, entity: str) -> DataFrame:
-    """Every (entity, deal) pair that shares ``keys``, for export and for checking. Its
-    size is the ``pairs`` total of :func:`fan_out`; adaptive execution splits hot keys."""
-    left = usable(entities, keys).select(entity, *keys)
-    right = usable(require_keys(deals, "portfolio_company_id"), keys)
-    right = right.drop(*[c for c in FULL_KEY if c not in keys])
-    return left.join(right, keys, "inner").withColumn("match_method", F.lit(method))
-
-
-def crosswalk_pairs(entities: DataFrame, deals: DataFrame, entity: str = "company_uuid") -> DataFrame:
-    """Both kinds of pair in one list; a pair found both ways is listed twice."""
-    by_domain = match_pairs(entities, deals, DOMAIN_KEY, "domain", entity)
-    by_name = match_pairs(entities, deals, NAME_KEY, "normalized_name_country", entity)
-    return by_domain.unionByName(by_name, allowMissingColumns=True)
-
-
 def link_summary(entities: DataFrame, ledger: DataFrame, keys: list[str], entity: str) -> DataFrame:
     """Deals each entity reaches through one kind of key: how many, and the earliest.
     The same rows as grouping the pair list by entity, without building it."""

@@ -17,17 +17,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import key_digest
 
+# Ranges at least, and rows that one range may hold before there are more.
 RANGES = 256
+ROWS_PER_RANGE = 2_000_000
 
 
 def cut_points(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
-    """Approximate quantiles of ``value``, repeated where one value is heavy. One small
-    row comes back to the driver."""
-    steps = [i / ranges for i in range(1, ranges)]
-    if not steps:
+    """Approximate quantiles of ``value``, repeated where one value is heavy: at least
+    ``ranges`` of them, and as many as the number of rows asks for. One row comes back to
+    the driver, a number per range."""
+    if ranges < 2:
         return []
-    sketch = F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, steps)), 20 * ranges)
-    return list(df.agg(sketch.alias("q")).first()["q"] or [])
+
+    def sketch(n: int):
+        steps = F.array(*[F.lit(i / n) for i in range(1, n)])
+        return F.percentile_approx(F.col(value).cast("double"), steps, 20 * n).alias("q")
+
+    row = df.agg(sketch(ranges), F.count(F.lit(1)).alias("n")).first()
+    wanted = -(-row["n"] // ROWS_PER_RANGE)
+    if wanted > ranges:
+        row = df.agg(sketch(wanted)).first()
+    return list(row["q"] or [])
 
 
 def into_ranges(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
@@ -114,7 +124,8 @@ def row_positions(
     digest = key_digest(*[F.col(c) for c in key])
     placed = into_ranges(known.withColumn("_tie", digest), value, edges, "_range")
     is_heavy = F.col(value).cast("double").isin(heavy) if heavy else F.lit(False)
-    slice_of = F.conv(F.substring("_tie", 1, 2), 16, 10).cast("int")
+    digits = 2 if len(cuts) < 1000 else 4
+    slice_of = F.conv(F.substring("_tie", 1, digits), 16, 10).cast("int")
     placed = placed.withColumn("_slice", F.when(is_heavy, slice_of).otherwise(0))
 
     cell = [*groups, "_range", "_slice"]

@@ -7,16 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key can only be among the HOT_KEYS most frequent ones or hold fewer than 1/HOT_KEYS of
-# the rows, so the list of hot keys never exceeds this many rows whatever the data size.
-HOT_KEYS = 512
+# Rows of one key that one reducer takes. A key with more is spread over as many reducers as
+# its count asks for.
+ROWS_PER_SALT = 1_000_000
+# Keys that can be spread; a key that is not among them holds less than this share of rows.
+HOT_KEYS = 10_000
+# Parts into which each group is cut before the last cut of a top-k selection.
 SALTS = 64
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent keys. TakeOrdered keeps at most ``limit`` rows per task."""
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.orderBy(F.desc("_n"), *on).limit(limit).select(*on)
+def hot_keys(df: DataFrame, on: Sequence[str], per_salt: int = ROWS_PER_SALT, limit: int = HOT_KEYS) -> DataFrame:
+    """Keys with more than ``per_salt`` rows and the ``_salts`` they need, the ``limit`` most
+    frequent at most. NULL keys match nothing and are not listed."""
+    known = df.filter(" and ".join(f"`{c}` is not null" for c in on))
+    counted = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_salt)
+    needed = F.ceil(F.col("_n") / per_salt).cast("int")
+    return counted.orderBy(F.desc("_n"), *on).limit(limit).select(*on, needed.alias("_salts"))
 
 
 def spread_join(
@@ -25,10 +32,11 @@ def spread_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    per_salt: int = ROWS_PER_SALT,
     limit: int = HOT_KEYS,
 ) -> DataFrame:
-    """Equi-join whose frequent left keys are spread over ``salts`` reducers.
+    """Equi-join whose frequent left keys are spread over reducers in proportion to their
+    rows, and whose left rows with a NULL key are spread over all.
 
     ``right`` must hold few rows per key (one, or one per period): its rows for hot keys
     are repeated once per salt. ``spread_by`` names left columns that differ within a key;
@@ -36,11 +44,16 @@ def spread_join(
     Every pair of the plain join is produced exactly once.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, limit).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0)
-    repeat = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(repeat)).drop("_hot")
+    # At most `limit` small rows by construction.
+    hot = F.broadcast(hot_keys(left, on, per_salt, limit))
+    unknown = F.lit(False)
+    for c in on:
+        unknown = unknown | F.col(c).isNull()
+    spread = F.xxhash64(*spread_by)
+    salt = F.when(unknown, -1 - F.pmod(spread, F.lit(1 << 20))).otherwise(F.coalesce(F.pmod(spread, F.col("_salts")), F.lit(0)))
+    repeat = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    salted_left = left.join(hot, on, "left").withColumn("_salt", salt.cast("long")).drop("_salts")
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(repeat.cast("array<bigint>"))).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -55,9 +68,13 @@ def top_k(
 ) -> DataFrame:
     """First ``k`` rows of each group by a total order, numbered from 1.
 
-    Two rounds: each group is cut to ``k`` within every salt first, so the task that makes
-    the final cut sees at most ``k * salts`` rows however large the group is.
+    Each group is cut to ``k`` inside every task that reads it, then within every salt, so
+    neither a shuffle nor the task of the last cut sees a whole group. Spark cuts inside the
+    reading tasks only up to a session limit on ``k``, which is raised here if need be.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(_GROUP_LIMIT)) < k:
+        conf.set(_GROUP_LIMIT, str(k))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     near = Window.partitionBy(*groups, "_salt").orderBy(*order)
     final = Window.partitionBy(*groups).orderBy(*order)
