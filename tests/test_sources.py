@@ -80,6 +80,8 @@ def test_crawl_tree_and_proxy_files(spark, tmp_path):
         ("a.com", "2011-12-31", "200"), ("b.com", "2011-12-31", None), ("a.com", "2013-01-01", None), ("b.com", None, None),
     ]))
     assert proxy.read_proxy_files(spark, []).count() == 0
+    per_file = proxy.conformance(proxy.read_proxy_files(spark, files), "source_path", ["website_domain", "cutoff_date", "http_status"])
+    assert sorted(r.missing_required_columns for r in per_file.collect()) == ["cutoff_date", "http_status"]
     report = proxy.conformance(rows, "cutoff_date").first()
     assert "http_status" in report.missing_required_columns and "website_domain" not in report.missing_required_columns
 

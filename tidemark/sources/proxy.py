@@ -52,32 +52,29 @@ def fill_cutoff(rows: DataFrame) -> DataFrame:
 
 
 def read_proxy_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of all files with the wanted columns as text, plus ``source_path``. Files of one
-    format are one scan; unreadable files contribute nothing."""
-    frames = []
-    for suffix in ("parquet", "csv"):
-        chosen = [p for p in paths if p.endswith("." + suffix)]
-        if not chosen:
-            continue
-        reader = spark.read.option("ignoreCorruptFiles", True)
-        if suffix == "csv":
-            # files with the same header line share one scan
-            same: dict[tuple[str, ...], list[str]] = {}
-            for path in chosen:
-                same.setdefault(tuple(reader.option("header", True).csv(path).columns), []).append(path)
-            frames += [_shape(reader.option("header", True).csv(group)) for group in same.values()]
-        else:
-            frames.append(_shape(reader.option("mergeSchema", True).parquet(*chosen)))
-    if not frames:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*PROXY_READ, "source_path"]))
+    """Rows of all files with the wanted columns as text, the ``source_path`` and the
+    ``source_columns`` that the file itself has. Files of one format and header are one
+    scan. A file that cannot be read fails the query; nothing of it is left out silently."""
+    same: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for path in paths:
+        suffix = path.rsplit(".", 1)[-1]
+        if suffix in ("csv", "parquet"):
+            same.setdefault((suffix, tuple(_open(spark, suffix, [path]).columns)), []).append(path)
+    if not same:
+        return spark.createDataFrame([], ", ".join([*(f"{c} string" for c in [*PROXY_READ, "source_path"]), "source_columns array<string>"]))
+    frames = [_shape(_open(spark, suffix, group), columns) for (suffix, columns), group in same.items()]
     return fill_cutoff(reduce(DataFrame.unionByName, frames))
 
 
-def _shape(df: DataFrame) -> DataFrame:
-    cols = [
-        (F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in PROXY_READ
-    ]
-    return df.select(*cols, logical_file(F.col("_metadata.file_path")).alias("source_path"))
+def _open(spark: SparkSession, suffix: str, paths: list[str]) -> DataFrame:
+    """A header or a footer is all that opening reads."""
+    return spark.read.option("header", True).csv(paths) if suffix == "csv" else spark.read.parquet(*paths)
+
+
+def _shape(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    cols = [(F.col(c).cast("string") if c in columns else F.lit(None).cast("string")).alias(c) for c in PROXY_READ]
+    own = F.array(*map(F.lit, columns)).cast("array<string>").alias("source_columns")
+    return df.select(*cols, logical_file(F.col("_metadata.file_path")).alias("source_path"), own)
 
 
 def source_audit(rows: DataFrame, domain_map: DataFrame, entity: str) -> DataFrame:
@@ -103,11 +100,17 @@ def source_audit(rows: DataFrame, domain_map: DataFrame, entity: str) -> DataFra
 
 
 def conformance(rows: DataFrame, group: str, required: list[str] | None = None) -> DataFrame:
-    """Per file (or cutoff): rows, required columns its schema lacks, distinct domains and
-    the share of archived pages."""
+    """Per file (or cutoff): rows, required columns that are missing, distinct domains and
+    the share of archived pages. Rows read from files carry their file's own columns; a
+    group lacks what any of its files lacks. Other rows are judged by the table's columns."""
     wanted = PROXY_REQUIRED if required is None else required
-    missing = ", ".join(c for c in wanted if c not in rows.columns)
-    aggs = [F.count(F.lit(1)).alias("rows"), F.lit(missing).alias("missing_required_columns")]
+    if "source_columns" in rows.columns:
+        lacking = F.array_except(F.array(*map(F.lit, wanted)), "source_columns")
+        found = F.array_distinct(F.flatten(F.collect_set(lacking)))
+        missing = F.array_join(F.filter(F.array(*map(F.lit, wanted)), lambda c: F.array_contains(found, c)), ", ")
+    else:
+        missing = F.lit(", ".join(c for c in wanted if c not in rows.columns))
+    aggs = [F.count(F.lit(1)).alias("rows"), missing.alias("missing_required_columns")]
     if "website_domain" in rows.columns:
         aggs.append(F.countDistinct("website_domain").alias("unique_domains"))
     else:

@@ -62,11 +62,18 @@ CRAWL_SUMMARY = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS row
 
 
 def conformance(spark, sf):
-    c = proxy.conformance(D.homepage_rows(spark, sf).drop("final_url"), "cutoff_date")
+    """The rows as two proxy files, of which that of the even years lacks a column."""
+    root = posixpath.join(stage_root(spark), "conformance-" + uuid.uuid4().hex)
+    rows = D.homepage_rows(spark, sf)
+    even = F.year(F.col("cutoff_date").cast("date")) % 2 == 0
+    for name, part in (("even", rows.filter(even).drop("final_url")), ("odd", rows.filter(~even))):
+        part.write.parquet(posixpath.join(root, name, f"{proxy.FILE_STEM}.parquet"))
+    read = proxy.read_proxy_files(spark, proxy.proxy_files(spark, [root]))
+    c = proxy.conformance(read.withColumn("cutoff_date", F.col("cutoff_date").cast("date")), "cutoff_date")
     return _days(c.withColumn("archived_200_share", F.round("archived_200_share", 8)))
 
 
-CONFORMANCE = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS rows, 'final_url' AS missing_required_columns,
+CONFORMANCE = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS rows, CASE WHEN year(cutoff_date) % 2 = 0 THEN 'final_url' ELSE '' END AS missing_required_columns,
   count(DISTINCT website_domain)::BIGINT AS unique_domains, round(avg((status = 'archived_200')::INTEGER), 8) AS archived_200_share FROM proxy GROUP BY 1"""
 
 
