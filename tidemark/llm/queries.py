@@ -8,6 +8,7 @@ from tidemark.llm.common import read
 from tidemark.llm.license_scan import license_report
 from tidemark.llm.mixing import mixed_sizes
 from tidemark.llm.ngram_join import ngram_jaccard
+from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import best_fit_packing
 from tidemark.llm.personal_data import personal_data
 from tidemark.llm.quality import apply_policy, quality_ledger
@@ -53,6 +54,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mixing": op3_source_mixing,
@@ -64,4 +67,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {}
