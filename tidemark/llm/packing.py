@@ -23,7 +23,7 @@ from tidemark.llm.common import cut, number_in_groups
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,12 +40,12 @@ class Chunks(dict):
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self._ranks = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._full = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self._file = public_tokenizers.path(f"{vocabulary}.json")
+        self._full = None
         self._meets = re.compile(r"\s\s")
 
     def __missing__(self, chunk: str) -> bytes:
@@ -57,6 +57,10 @@ class Chunks(dict):
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:  # may hold a special token, which only the tokenizer itself treats as one
+            if self._full is None:
+                from tokenizers import Tokenizer
+
+                self._full = Tokenizer.from_file(self._file)
             return np.array(self._full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self._meets.search(text):
             return self._ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
@@ -184,4 +188,5 @@ def best_fit_packing(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: in
     Null and empty texts become one piece of the end id; repeated rows are packed as often
     as they occur; an empty table gives no rows; other columns are not read.
     """
-    return pack(cut(tokenized_pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    packed = pack(cut(tokenized_pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
