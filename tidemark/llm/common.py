@@ -30,7 +30,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices_for(rows: int, per_slice: int = 100_000) -> int:
+def slices_for(rows: int, per_slice: int = 10_000) -> int:
     """Number of key slices so that one slice holds about ``per_slice`` rows at any size."""
     return max(1, -(-rows // per_slice))
 
