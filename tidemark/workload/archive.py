@@ -39,7 +39,7 @@ def query_log(spark, sf):
     return snapshots.query_log(D.listings(spark, sf)).drop("source_url")
 
 
-QUERY_LOG = f"""SELECT {S.domain('url')} AS website_domain, 200 AS cdx_http_status, 1 AS snapshot_rows, '' AS error FROM pages"""
+QUERY_LOG = f"""SELECT {S.domain('url')} AS website_domain, 200 AS cdx_http_status, 1 AS snapshot_rows, '' AS error, false AS truncated FROM pages"""
 
 
 def cutoff_rows(spark, sf):
@@ -73,7 +73,7 @@ def conformance(spark, sf):
     return _days(c.withColumn("archived_200_share", F.round("archived_200_share", 8)))
 
 
-CONFORMANCE = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS rows, CASE WHEN year(cutoff_date) % 2 = 0 THEN 'final_url' ELSE '' END AS missing_required_columns,
+CONFORMANCE = f"""WITH {S.SNAPSHOTS} SELECT {DAY_SQL}, count(*)::BIGINT AS rows, CASE WHEN year(any_value(proxy.cutoff_date)) % 2 = 0 THEN 'final_url' ELSE '' END AS missing_required_columns,
   count(DISTINCT website_domain)::BIGINT AS unique_domains, round(avg((status = 'archived_200')::INTEGER), 8) AS archived_200_share FROM proxy GROUP BY 1"""
 
 
