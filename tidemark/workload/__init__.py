@@ -11,10 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
     """Name of each query with its function and, where there is one, its reference SQL."""
-    from tidemark.workload import archive, links, models, panels, ranks, scalars
+    from tidemark.workload import archive, links, models, panels, ranks, resumption, scalars
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (scalars, links, panels, ranks, archive, models):
+    for module in (scalars, links, panels, ranks, archive, resumption, models):
         clash = out.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"query named twice: {sorted(clash)}")
