@@ -314,8 +314,8 @@ def _ic_sql() -> str:
         )
 
     return f"""WITH {_SINCE}, long AS ({rows}),
-  pct AS (SELECT *, {rank('v')} / count(*) OVER (PARTITION BY feature) AS px, {rank('y')} / count(*) OVER (PARTITION BY feature) AS py FROM long),
-  res AS (SELECT feature, v, y, round(px - avg(px) OVER (PARTITION BY feature, g), 12) AS rx, round(py - avg(py) OVER (PARTITION BY feature, g), 12) AS ry FROM pct),
+  twice AS (SELECT *, (2 * {rank('v')})::HUGEINT AS px, (2 * {rank('y')})::HUGEINT AS py, count(*) OVER (PARTITION BY feature, g) AS n FROM long),
+  res AS (SELECT feature, v, y, (px * n - sum(px) OVER (PARTITION BY feature, g)) / n AS rx, (py * n - sum(py) OVER (PARTITION BY feature, g)) / n AS ry FROM twice),
   rk AS (SELECT feature, v, y, {rank('rx')} AS a, {rank('ry')} AS b FROM res)
   SELECT feature, round(CASE WHEN count(*) >= 100 AND count(DISTINCT v) >= 3 AND count(DISTINCT y) >= 2 THEN corr(a, b) END, 8) AS residual_rank_ic
   FROM rk GROUP BY 1"""
