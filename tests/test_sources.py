@@ -150,3 +150,12 @@ def test_crawl_takes_up_where_it_stopped(spark, tmp_path):
     assert {(str(r.cutoff_date), r.rows, r.archived_200_rows) for r in b.summary.collect()} == {("2011-12-31", 2, 1), ("2014-12-31", 2, 0)}
     assert {r.missing_required_columns for r in b.validation.collect()} == {""}
     assert spark.read.parquet(str(tmp_path / "t" / "domain_company_mapping")).count() == 3
+
+
+def test_entry_points_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
