@@ -24,14 +24,16 @@ from tidemark.llm.graph import components
 WORDS = 5
 PERCENT = 75
 
-WORDS_PER_BATCH = 2_000_000
+WORDS_PER_BATCH = 1_000_000
 DOCS_PER_BATCH = 60_000
 ENTRIES_PER_BLOCK = 2_000_000
 ENTRIES_HELD = 10_000_000
 LOW_BITS = 40
+MEASURE_BLOCKS = 4096
 ROWS_PER_BLOCK = 1_000
 GRAMS_PER_BLOCK = 600_000
 DENSE = 48
+REMEMBERED = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xD6E8FEB86659FD93)
@@ -43,14 +45,14 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-def gram_hashes(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-grams; of the whole sequence if it is shorter."""
+def rolling_grams(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
+    """Hashes of the text's n-grams in order; of the whole sequence if it is shorter."""
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.empty(0, np.uint64)
@@ -61,12 +63,17 @@ def gram_hashes(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.
     for i in range(size):
         value = (value ^ (value >> np.uint64(29))) * _MIX + each[i : i + count]
     value = (value ^ (value >> np.uint64(32))) * _END
-    return np.unique(value ^ (value >> np.uint64(29)))
+    return value ^ (value >> np.uint64(29))
+
+
+def gram_hashes(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's n-grams."""
+    return np.unique(rolling_grams(text, hashes, width))
 
 
 def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
     """Column blocks: n-grams of a batch of documents per block, and a row of measures per
-    document (block -1). Copies inside a batch send their n-grams once."""
+    document (blocks below 0). Copies inside a batch send their n-grams once."""
     schema = "block int, batch long, grams binary, places binary, doc_id long, size int, digest long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +92,7 @@ def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             batch = base | number << 16
             ids = [m[0] for m in measures]
-            yield _batch([-1 - (number % 64)] * len(ids), [batch | i for i in range(len(ids))], None, None, ids, [m[1] for m in measures], [m[2] for m in measures])
+            yield _batch([-1 - (TaskContext.get().partitionId() + 31 * number) % MEASURE_BLOCKS] * len(ids), [batch | i for i in range(len(ids))], None, None, ids, [m[1] for m in measures], [m[2] for m in measures])
             if not held:
                 return
             grams = np.concatenate(held)

@@ -10,6 +10,7 @@ from tidemark.llm.mixing import mixed_sizes
 from tidemark.llm.ngram_join import ngram_jaccard
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.passages import repeated_passages
 from tidemark.llm.personal_data import personal_data
 from tidemark.llm.quality import apply_policy, quality_ledger
 from tidemark.llm.secret_scan import secret_report
@@ -17,6 +18,10 @@ from tidemark.llm.toxicity import toxicity
 from tidemark.llm.vector_dedup import near_duplicate_vectors
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(read(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mixing": op3_source_mixing,
     "op4_vector_dedup": op4_vector_dedup,
