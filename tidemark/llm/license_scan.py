@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_id
+from tidemark.llm.common import cut, row_id
 
 # Phrases and labels of the base scan.
 PHRASES = (
@@ -94,7 +94,8 @@ def license_report(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = row_id("doc_id", "text")
-    spans = verified_spans(diagonal_votes(docs, template_pairs(docs.sparkSession), key))
+    # Phrases and texts both read the votes, so they are written once.
+    spans = verified_spans(cut(diagonal_votes(docs, template_pairs(docs.sparkSession), key), "license_votes"))
     joined = lambda labels: F.array_join(F.array_sort(F.collect_set(labels)), ",")
     base = F.col("base")
     found = spans.groupBy("row").agg(
