@@ -78,6 +78,7 @@ def test_jaccard_of_groups(spark, odd_docs, odd, small, monkeypatch):
         monkeypatch.setattr(ngram_join, "ROWS_PER_BLOCK", 16)
         monkeypatch.setattr(ngram_join, "ENTRIES_HELD", 50)
         monkeypatch.setattr(ngram_join, "WORDS_PER_BATCH", 3000)
+        monkeypatch.setattr(ngram_join, "DENSE", 4)
     rows = near_copies(150, 1) + [(d, t) for d, t, _, _ in odd]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(ngram_jaccard(frame)) == expected(rows)
