@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.sinks import cut
 
-__all__ = ["cut", "row_id", "number_in_groups", "read", "word_count", "WORD", "SPACE"]
+__all__ = ["cut", "row_id", "number_in_groups", "portions", "read", "slices_for", "word_count", "WORD"]
 
 # Words of most contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def slices_for(rows: int, per_slice: int = 10_000) -> int:
     """Number of key slices so that one slice holds about ``per_slice`` rows at any size."""
     return max(1, -(-rows // per_slice))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, portions
 from tidemark.llm.graph import components
 
 WORDS = 5
@@ -111,7 +111,7 @@ def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
                     [_planes(owner[s:e]) for _, s, e in some], None, None, None,
                 )
 
-        for arrived in batches:
+        for arrived in portions(batches):
             for doc_id, text in zip(arrived.column(0).to_pylist(), arrived.column(1).to_pylist(), strict=True):
                 grams = gram_hashes(text, hashes, width)
                 digest = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
