@@ -82,3 +82,31 @@ def test_whole_benchmark(spark, tmp_path):
     )
     assert abs(hazard.roc_auc - logistic.roc_auc) < 0.02
     assert os.path.isdir(str(tmp_path / "out" / "predictions" / "model=logistic_regression"))
+
+
+def test_registered_sweep_is_the_published_one(spark, monkeypatch):
+    """All models and variants, on a frame that is built with every family's source."""
+    from types import SimpleNamespace
+
+    from tidemark.plans import features
+    from tidemark.workload import models
+
+    asked = {}
+    rows = [(f"c{i}", i, i % 2, "test" if i % 3 else "train", *[float(i)] * len(features.all_features())) for i in range(9)]
+    frame = spark.createDataFrame(rows, [SPEC.entity, SPEC.period, SPEC.label, "split", *features.all_features()])
+
+    def model_frame(inputs, spec, **options):
+        asked.update(inputs=inputs)
+        return SimpleNamespace(frame=frame)
+
+    def sweep(train, test, spec, line_up, compared):
+        asked.update(models=line_up, variants=compared)
+        return test.select(SPEC.entity, SPEC.period, SPEC.label, F.lit("m").alias("model"), F.lit("baseline").alias("variant"), F.lit(0.5).alias("score"))
+
+    monkeypatch.setattr(features, "model_frame", model_frame)
+    monkeypatch.setattr(modelling, "sweep", sweep)
+    models.sweep_metrics(spark, SF)
+    assert asked["models"] == modelling.model_specs()
+    assert asked["models"]["gradient_boosted_trees"].estimator(10, 1).getMaxIter() == 250
+    assert asked["variants"] == modelling.variants(features.FAMILIES) and len(asked["variants"]) == 12
+    assert all(x is not None for x in (asked["inputs"].patents, asked["inputs"].partner_features, asked["inputs"].homepage_rows))
