@@ -59,6 +59,16 @@ def test_contexts_find_what_no_format_describes(spark):
     assert added == {40: "context_phone:18:26", 41: "context_phone:18:26"}
 
 
+def test_contexts_of_long_tokens(spark):
+    """A token of any length takes part; only its shape is shortened."""
+    long_ = "555-0199" + "a" * 200
+    texts = [f"please call me at +1 (555) 010-{i:04d} today" for i in range(40)]
+    texts += [f"please call me at {long_} now", f"please call me at {long_} now, again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id: r.spans for r in personal_data(docs).collect() if "context_" in r.spans}
+    assert added == {i: f"context_phone:18:{18 + len(long_)}" for i in (40, 41)}
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -101,11 +101,11 @@ def instances(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
             i += 1
         covered = any(s < end and e > start for s, e, _ in held[max(0, i - 4) : i])
         token = m.group()
-        if not covered and len(token) <= LONGEST and _MARKED.search(token):
+        if not covered and _MARKED.search(token):
             lead = len(token) - len(token.lstrip(_OUTER))
             core = token.strip(_OUTER)
             if core:
-                shape = re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", core))
+                shape = re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", core))[:LONGEST]
                 out.append((start + lead, start + lead + len(core), _pattern(last), shape, None))
         word = token[:LONGEST].strip(_OUTER)
         if word:
@@ -170,7 +170,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     their result; an empty table gives no rows; columns but ``doc_id, text`` are not read."""
     found = cut(scanned(docs.select("doc_id", "text")), "personal_data")
     single = found.select("row", F.inline("instances")).distinct()
-    edges = single.groupBy("pattern", "shape", "seed").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("row").alias("docs"))
+    # Per document first, so that documents are counted exactly.
+    each = single.groupBy("pattern", "shape", "seed", "row").agg(F.count(F.lit(1)).alias("n"))
+    edges = each.groupBy("pattern", "shape", "seed").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     contexts = confident_contexts(cut(edges, "context_graph"))
     marked = single.filter("seed is null").join(contexts, ["pattern", "shape"])
     span = F.struct("kind", "start", F.concat_ws(":", F.concat(F.lit("context_"), "kind"), F.col("start"), F.col("end")).alias("span"))
