@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.packing import tokenized_pieces
 from tidemark.llm.personal_data import emails, luhn, personal_data
 from tidemark.llm.queries import QUERIES
-from tidemark.llm.toxicity import drop_toxic, toxicity
+from tidemark.llm.toxicity import drop_toxic, lexicon, toxicity
 
 
 def by_id(rows):
@@ -84,6 +84,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in rows)
 
 
+def test_copies_of_a_clean_text_count_once(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"badword {' '.join('q' + letters[i % 26] * (2 + i // 26) + x for x in letters)}" for i in range(40)] + ["one clean text names badword once"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "badword" in lexicon(docs, {i: int(i < 40) for i in range(len(texts))})
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, odd):
     labels = spark.createDataFrame([(1, 0, 0), (2, 0, None), (None, 0, 1), (4, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity(odd_docs, labels).collect()

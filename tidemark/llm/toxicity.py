@@ -72,29 +72,22 @@ def lexicon(docs: DataFrame, labelled: dict[int, int], size: int = LEXICON) -> d
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            clean: Counter[str] = Counter()
-            term, signature = [], []
+            term, signature, toxic = [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 label = known.get(doc_id.as_py())
                 if label is None:
                     continue
                 words = tokens(text.as_py())
                 found = {t for w in set(words) for t in terms(w)}
-                if label:
-                    sign = _signature(words)
-                    term += found
-                    signature += [sign] * len(found)
-                else:
-                    clean.update(found)
-            n = [0] * len(term) + list(clean.values())
-            signature += [None] * len(clean)
-            term += clean
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(signature, pa.int64()), pa.array(n, pa.int64())], names=["term", "signature", "n"])
-
-    counted = docs.select("doc_id", "text").mapInArrow(count, "term string, signature long, n long")
-    per_text = counted.groupBy("term", "signature").agg(F.sum("n").alias("n"))
-    per_term = per_text.groupBy("term").agg(F.count("signature").alias("toxic_texts"), F.sum("n").alias("clean_docs"))
-    pure = per_term.filter((F.col("toxic_texts") >= LEAST_TEXTS) & (F.col("toxic_texts") >= PURITY * (F.col("toxic_texts") + F.col("clean_docs"))))
+                term += found
+                signature += [_signature(words)] * len(found)
+                toxic += [label] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(signature, pa.int64()), pa.array(toxic, pa.int32())], names=["term", "signature", "toxic"])
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "term string, signature long, toxic int")
+    per_text = counted.distinct()
+    per_term = per_text.groupBy("term").agg(F.sum("toxic").alias("toxic_texts"), F.sum(1 - F.col("toxic")).alias("clean_texts"))
+    pure = per_term.filter((F.col("toxic_texts") >= LEAST_TEXTS) & (F.col("toxic_texts") >= PURITY * (F.col("toxic_texts") + F.col("clean_texts"))))
     rows = pure.orderBy(F.desc("toxic_texts"), F.length("term").desc(), "term").limit(size).collect()
     return {r.term: i for i, r in enumerate(rows)}
 
