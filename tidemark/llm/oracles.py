@@ -126,7 +126,79 @@ found AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM docs LEFT JOIN found USING (r)"""
 
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_BENCHMARK_DECONTAMINATION = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(10, len(w))::BIGINT AS k FROM items WHERE len(w) > 0))),
+places AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT r, i, k, item FROM places JOIN windows USING (k, win)),
+words AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item)::BIGINT AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(docs.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
+
+OP12_SOURCE_DIVERGENCE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+grid AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (s.total + 5 * s.v) AS q
+  FROM kept k JOIN totals t USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+listed AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN apart USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM grid WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM listed)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+OP13_PHRASE_COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), {_CAPITALS}), '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND n >= 30),
+cuts AS (
+  SELECT f.lang, f.phrase, f.a, c, x.n AS l, y.n AS r, (2000000::HUGEINT * f.a) // (x.n + y.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM frequent) f
+  JOIN counts x ON x.lang = f.lang AND x.phrase = array_to_string(f.w[1:c], ' ') JOIN counts y ON y.lang = f.lang AND y.phrase = array_to_string(f.w[c + 1:], ' ')),
+best AS (SELECT lang, phrase, a, l, r, score::BIGINT AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a AS around
+  FROM (SELECT lang, w, a, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM frequent WHERE k > 2))),
+longest AS (SELECT lang, phrase, max(around) AS around FROM inner_parts GROUP BY ALL),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM best LEFT JOIN longest USING (lang, phrase) WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLES = {
+    "op11_benchmark_decontamination": OP11_BENCHMARK_DECONTAMINATION,
+    "op12_source_divergence": OP12_SOURCE_DIVERGENCE,
+    "op13_phrase_collocations": OP13_PHRASE_COLLOCATIONS,
     "op3_source_mixing": OP3_SOURCE_MIXING,
     "op5_secret_scan": OP5_SECRET_SCAN,
     "op6_quality_rules": OP6_QUALITY_RULES,

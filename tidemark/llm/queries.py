@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import read
+from tidemark.llm.decontamination import contamination
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.license_scan import license_report
 from tidemark.llm.mixing import mixed_sizes
 from tidemark.llm.ngram_join import ngram_jaccard
@@ -12,6 +14,7 @@ from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import best_fit_packing
 from tidemark.llm.passages import repeated_passages
 from tidemark.llm.personal_data import personal_data
+from tidemark.llm.phrases import collocations
 from tidemark.llm.quality import apply_policy, quality_ledger
 from tidemark.llm.secret_scan import secret_report
 from tidemark.llm.toxicity import toxicity
@@ -59,6 +62,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -72,4 +87,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
