@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.bitmap import bit_table, places
+from tidemark.llm.bitmap import bit_table, passes
 from tidemark.llm.common import cut
 from tidemark.llm.tokens import ALPHANUMERIC, Words, digests, find_words, portions_by_size, rolled
 
@@ -61,7 +61,7 @@ def _windows_at(found: Words, lengths: dict[int, np.ndarray], bits: int) -> Iter
     codes, distinct = found.coded()
     marks = digests(distinct)[codes]
     for n, table in lengths.items():
-        at = np.flatnonzero(table[places(rolled(marks, n), bits)])
+        at = np.flatnonzero(passes(table, rolled(marks, n), bits))
         at = at[found.row[at] == found.row[at + n - 1]]
         for i in at.tolist():
             yield i, n, " ".join(found.words.slice(i, n).to_pylist())
@@ -84,14 +84,17 @@ def _runs(hit: np.ndarray, row: np.ndarray, rows: int) -> list[list[dict[str, in
 _RUN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
+def _tables(windows: DataFrame, bits: int) -> dict[int, np.ndarray]:
+    """A bit table for each number of words that a window has, of which there are few."""
+    sizes = sorted(r[0] for r in windows.select("words").distinct().collect())
+    return {n: bit_table(windows.filter(F.col("words") == n), bits) for n in sizes}
+
+
 def _scan_held(packed: DataFrame, windows: DataFrame, bits: int) -> DataFrame:
-    rows = windows.select("words", "window", "item", "digest").toArrow().to_pylist()
-    lengths: dict[int, np.ndarray] = {}
     holders: dict[str, list[str]] = {}
-    for r in rows:
-        table = lengths.setdefault(r["words"], np.zeros(1 << bits, bool))
-        table[places(np.array([r["digest"]]).view(np.uint64), bits)] = True
+    for r in windows.select("window", "item").toArrow().to_pylist():
         holders.setdefault(r["window"], []).append(r["item"])
+    lengths = _tables(windows, bits)
     shared = packed.sparkSession.sparkContext.broadcast((lengths, holders))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +131,7 @@ def _merge(spans: Column, mark: Column) -> Column:
 
 
 def _scan_joined(packed: DataFrame, windows: DataFrame, bits: int) -> DataFrame:
-    sizes = sorted(r[0] for r in windows.select("words").distinct().collect())  # at most one per window length
-    lengths = {n: bit_table(windows.filter(F.col("words") == n), bits) for n in sizes}
-    shared = packed.sparkSession.sparkContext.broadcast(lengths)
+    shared = packed.sparkSession.sparkContext.broadcast(_tables(windows, bits))
     passing = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64()), ("window", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bitmap import bit_table, places
+from tidemark.llm.bitmap import bit_table, passes
 from tidemark.llm.common import cut, number_in_groups
 from tidemark.llm.tokens import LETTERS, digests, find_words, portions_by_size
 
@@ -25,6 +26,7 @@ TOP = 50
 BITS = 24
 BLOCK = 64
 SLICE_CELLS = 50_000
+HELD_ROWS = 1_000_000
 TERM = ["lang", "digest", "split"]
 
 
@@ -53,38 +55,86 @@ def document_counts(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
     return counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs"))
 
 
-def term_counts(docs: DataFrame, passing: np.ndarray, bits: int, digest_bits: int = 64) -> DataFrame:
-    """``lang, source, digest, term, n, docs`` per portion of text, of digests that pass."""
+def term_counts(docs: DataFrame, passing: np.ndarray, bits: int, digest_bits: int = 64, named: bool = False) -> DataFrame:
+    """``lang, source, digest, term, n, docs`` of the digests that pass, a few rows per task and
+    digest. ``term`` is set where a task meets a term for the first time, or always if
+    ``named``."""
     shared = docs.sparkSession.sparkContext.broadcast(passing)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(named)
         for batch in portions_by_size(batches, "text"):
             found = find_words(batch.column(2), LETTERS)
             if not len(found.row):
                 continue
             codes, terms = found.coded()
             marks = _digested(terms, digest_bits)
-            kept = shared.value[places(marks, bits)][codes]
-            codes, row, size = codes[kept], found.row[kept], len(terms)
-            if not len(codes):
-                continue
-            lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
-            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-            held, n = np.unique(row * size + codes, return_counts=True)
-            keys, at = np.unique(group[held // size] * size + held % size, return_inverse=True)
-            word, group = keys % size, keys // size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))),
-                    pa.array(marks[word].view(np.int64)), terms.take(pa.array(word)),
-                    pa.array(np.bincount(at, weights=n).astype(np.int64)), pa.array(np.bincount(at).astype(np.int64)),
-                ],
-                names=["lang", "source", "digest", "term", "n", "docs"],
-            )
+            known = passes(shared.value, marks, bits)
+            number = np.cumsum(known) - 1
+            terms, marks, kept = terms.filter(pa.array(known)), marks[known], known[codes]
+            codes, row = number[codes[kept]], found.row[kept]
+            if len(codes):
+                in_text, n = np.unique(row * len(terms) + codes, return_counts=True)
+                yield from held.add(batch.column(0), batch.column(1), in_text // len(terms), in_text % len(terms), terms, marks, n)
+        yield from held.empty()
 
     return docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, digest long, term string, n long, docs long")
 
 
+class Held:
+    """Counts of a task that have not been handed on, by number of group and term."""
+
+    def __init__(self, named: bool):
+        self._named = named
+        self._clear()
+
+    def _clear(self) -> None:
+        self._groups: dict[tuple[str, str], int] = {}
+        self._terms: dict[str, int] = {}
+        self._marks: list[int] = []
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._rows = 0
+
+    def add(self, lang: pa.Array, source: pa.Array, row: np.ndarray, code: np.ndarray, terms: pa.Array, marks: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.array([self._groups.setdefault(g, len(self._groups)) for g in zip(lang.to_pylist(), source.to_pylist(), strict=True)])
+        before = len(self._terms)
+        number = np.array([self._terms.setdefault(t, len(self._terms)) for t in terms.to_pylist()])
+        fresh = number >= before
+        self._marks += marks[fresh][np.argsort(number[fresh])].tolist()
+        self._part(group[row] << 40 | number[code], n, np.ones(len(n), np.int64))
+        if self._rows > HELD_ROWS:
+            self._merge()
+        if self._rows > HELD_ROWS // 2 or len(self._terms) > HELD_ROWS:
+            yield from self.empty()
+
+    def _part(self, keys: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        keys, at = np.unique(keys, return_inverse=True)
+        self._parts.append((keys, np.bincount(at, weights=n).astype(np.int64), np.bincount(at, weights=docs).astype(np.int64)))
+        self._rows += len(keys)
+
+    def _merge(self) -> None:
+        parts, self._parts, self._rows = self._parts, [], 0
+        self._part(*(np.concatenate(column) for column in zip(*parts, strict=True)))
+
+    def empty(self) -> Iterator[pa.RecordBatch]:
+        if not self._parts:
+            return
+        self._merge()
+        keys, n, docs = self._parts[0]
+        group, number = keys >> 40, keys & ((1 << 40) - 1)
+        term = pa.array(list(self._terms), pa.string()).take(pa.array(number))
+        if not self._named:
+            first = np.zeros(len(keys), bool)
+            first[np.unique(number, return_index=True)[1]] = True
+            term = pc.if_else(pa.array(first), term, pa.scalar(None, pa.string()))
+        lang, source = (pa.array([g[i] for g in self._groups], pa.string()).take(pa.array(group)) for i in (0, 1))
+        mark = np.array(self._marks, np.uint64)[number].view(np.int64)
+        whole = pa.RecordBatch.from_arrays([lang, source, pa.array(mark), term, pa.array(n), pa.array(docs)], names=["lang", "source", "digest", "term", "n", "docs"])
+        self._clear()
+        for at in range(0, whole.num_rows, 50_000):
+            yield whole.slice(at, 50_000)
+
+
 def part_per_billion(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (count + 5) / (total + 5 terms)), in decimals; null without terms."""
     billion = F.lit(1_000_000_000).cast("decimal(10,0)")
@@ -92,17 +142,17 @@ def part_per_billion(count: Column, total: Column, terms: Column) -> Column:
     return (share + F.lit(1)).cast("long")
 
 
-def split_counts(written: DataFrame, names: DataFrame) -> DataFrame:
+def split_counts(docs: DataFrame, written: DataFrame, names: DataFrame, bits: int, digest_bits: int) -> DataFrame:
     """``lang, source, digest, split, n, docs``. ``split`` is null but for digests of more than
-    one term, where it is the term; strings are shuffled for those alone."""
-    clashing = names.filter("low <> high").select("lang", "digest")
-    plain = written.select("lang", "source", "digest", "n", "docs").join(clashing, ["lang", "digest"], "left_anti")
-    split = written.join(clashing, ["lang", "digest"], "left_semi").withColumnRenamed("term", "split")
-    if clashing.isEmpty():
-        plain, split = written.select("lang", "source", "digest", "n", "docs"), written.limit(0).withColumnRenamed("term", "split")
+    one term, where it is the term: those alone are counted once more, by string."""
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
-    one = plain.groupBy("lang", "source", "digest").agg(*sums).withColumn("split", F.lit(None).cast("string"))
-    return one.unionByName(split.groupBy("lang", "source", "digest", "split").agg(*sums))
+    one = written.groupBy("lang", "source", "digest").agg(*sums).withColumn("split", F.lit(None).cast("string"))
+    clashing = names.filter("low <> high").select("digest")
+    if clashing.isEmpty():
+        return one
+    again = term_counts(docs, bit_table(clashing, bits), bits, digest_bits, named=True).join(clashing, "digest", "left_semi")
+    split = again.withColumnRenamed("term", "split").groupBy("lang", "source", "digest", "split").agg(*sums)
+    return one.join(clashing, "digest", "left_anti").unionByName(split)
 
 
 def _pair_sums(cells: DataFrame, groups: DataFrame, block: int) -> DataFrame:
@@ -175,9 +225,10 @@ def source_divergence(
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     passing = bit_table(document_counts(docs, digest_bits).filter(F.col("docs") >= docs_needed), bits)
     written = cut(term_counts(docs, passing, bits, digest_bits), "term_counts")
-    names = cut(written.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "term_names")
+    named = written.filter("term is not null").select("digest", "term")
+    names = cut(named.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "term_names")
     whole = Window.partitionBy(*TERM)
-    counted = split_counts(written, names).withColumns({"n_lang": F.sum("n").over(whole), "docs_lang": F.sum("docs").over(whole)})
+    counted = split_counts(docs, written, names, bits, digest_bits).withColumns({"n_lang": F.sum("n").over(whole), "docs_lang": F.sum("docs").over(whole)})
     cells = cut(counted.filter(F.col("docs_lang") >= docs_needed).drop("docs", "docs_lang"), "term_cells")
 
     # One row per group, with what all its terms need.
@@ -201,9 +252,9 @@ def source_divergence(
     above = placed.withColumn("value", F.col("p") - part_per_billion(F.col("n_lang"), F.col("lang_total"), F.col("kept"))).filter("value > 0")
     # Ties at the end stay until the strings that part them are there.
     leading = above.withColumn("_rank", F.rank().over(ranked.orderBy(F.desc("value")))).filter(F.col("_rank") <= top)
-    named = leading.join(names, ["lang", "digest"]).withColumn("item", F.coalesce("split", "low"))
+    listed = leading.join(names, "digest").withColumn("item", F.coalesce("split", "low"))
     order = ranked.orderBy(F.desc("value"), F.asc("item"))
-    terms = named.select("lang", "source", F.lit("term").alias("part"), "item", "value")
+    terms = listed.select("lang", "source", F.lit("term").alias("part"), "item", "value")
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
     one, other = (groups.select("lang", F.col("idx").alias(i), F.col("source").alias(s), F.col("p0").alias(p), *more) for i, s, p, more in (("a", "source", "p_a", ["kept"]), ("b", "item", "p_b", [])))
