@@ -6,7 +6,8 @@ from the first scan on. A longer phrase becomes active at the scan after both it
 one full cycle from there, so its count is exact. Lengths are thus counted side by side.
 
 When a subphrase reached the threshold is kept in one table of ``2 ** bits`` scan numbers per
-length, which tasks look up by digest. Its size does not grow with the corpus. Where two
+length, which tasks look up by digest. Its size does not grow with the corpus; the places
+that are set are sent. Where two
 phrases share a place of the table, a phrase may become active early, which costs work but
 not exactness: its cycle starts at the scan that the table gives, whatever the reason.
 """
@@ -21,13 +22,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bitmap import bit_table, places
+from tidemark.llm.bitmap import bit_table, places, set_bits
 from tidemark.llm.common import cut
 from tidemark.llm.tokens import SPACED, digests, find_words, mixed, portions_by_size, rolled
-from tidemark.sources.sinks import stage_root
+from tidemark.sources.sinks import Cuts, stage_root
+from tidemark.sources.tabular import remove_path
 
 LEAST = 30
 LONGEST = 4
@@ -47,13 +50,14 @@ def deal_shards(docs: DataFrame, shards: int) -> str:
     return path
 
 
-def scan_shard(shard: DataFrame, scan: int, shards: int, since: dict[int, np.ndarray], bits: int) -> DataFrame:
-    """Counts of the phrases that are active at this scan. ``since`` holds, by length, the scan
-    from which phrases at a place count as frequent."""
-    shared = shard.sparkSession.sparkContext.broadcast(since)
+def scan_shard(shard: DataFrame, scan: int, shards: int, shared: Broadcast, bits: int) -> DataFrame:
+    """Counts of the phrases that are active at this scan. ``shared`` holds, by length, places
+    and the scans from which phrases at a place count as frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        since = shared.value
+        since = {n: np.full(1 << bits, NEVER, np.uint8) for n in shared.value}
+        for n, (at, scans) in shared.value.items():
+            since[n][at] = scans
         for batch in portions_by_size(batches, "text"):
             found = find_words(batch.column(1), SPACED)
             if not len(found.row):
@@ -99,13 +103,17 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, bit
     and ``lang, n``: all words of each language."""
     if not 0 < shards * LONGEST < NEVER:
         raise ValueError(f"shards must be from 1 to {NEVER // LONGEST}")
-    dealt = docs.sparkSession.read.schema("lang string, text string, shard int").parquet(deal_shards(docs, shards))
+    spark, path = docs.sparkSession, deal_shards(docs, shards)
+    dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
     since: dict[int, np.ndarray] = {}
-    open_counts, done, totals, scan = None, [], None, 0
+    open_counts, before, done, totals, scan = None, None, [], None, 0
     while True:
-        rows = scan_shard(dealt.filter(F.col("shard") == scan % shards), scan, shards, since, bits)
+        needed = {n: np.flatnonzero(table != NEVER).astype(np.int32) for n, table in since.items() if _may_be_active(n + 1, scan, shards, since)}
+        shared = spark.sparkContext.broadcast({n: (at, since[n][at]) for n, at in needed.items()})
+        rows = scan_shard(dealt.filter(F.col("shard") == scan % shards), scan, shards, shared, bits)
         rows = rows if open_counts is None else rows.unionByName(open_counts)
-        merged = cut(rows.groupBy(*KEY).agg(F.sum("n").alias("n")), "phrase_counts")
+        with Cuts() as now:
+            merged = cut(rows.groupBy(*KEY).agg(F.sum("n").alias("n")), "phrase_counts")
         frequent = merged.filter(F.col("n") >= least)
         ended = F.col("started") + shards - 1 <= scan
         done.append(cut(frequent.filter(ended).select("lang", "words", "phrase", "n"), "phrases_done"))
@@ -114,12 +122,19 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, bit
         for n in range(1, LONGEST):
             table = bit_table(frequent.filter(F.col("words") == n), bits) if _may_be_active(n, scan, shards, since) else None
             if table is not None and table.any():
-                known = since.setdefault(n, np.full(1 << bits, NEVER, np.uint8))
-                known[table & (known == NEVER)] = scan + 1
+                known, at = since.setdefault(n, np.full(1 << bits, NEVER, np.uint8)), set_bits(table, bits)
+                known[at[known[at] == NEVER]] = scan + 1
         open_counts = merged.filter(~ended)
+        # Whatever is still counted has been carried over to this scan's table.
+        shared.destroy()
+        if before is not None:
+            before.delete(spark)
+        before = now
         scan += 1
         if scan >= shards and not any(_may_be_active(n, scan, shards, since) for n in range(2, LONGEST + 1)):
             break
+    before.delete(spark)
+    remove_path(spark, path)
     return cut(reduce(DataFrame.unionByName, done), "phrases"), totals
 
 
