@@ -9,30 +9,34 @@ Spark tokenizes, counts, numbers the pieces of each length and places them.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, number_in_groups
+from tidemark.llm.tokens import CHUNKS, find_words, portions_by_size
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
-CACHED_CHUNKS = 250_000
+# White space twice or at the end, or what may be a special token: such texts are encoded whole.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_APART = rf"{_SPACE}{_SPACE}|{_SPACE}\z|<\|"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Chunks(dict):
-    """Token ids, as little-endian uint32 bytes, of text between single spaces.
+class Encoder:
+    """Token ids, as little-endian uint32 bytes, of texts.
 
     No token of the vocabulary's pattern reaches across a place where a space follows a
     visible character, so where no two white-space characters meet, a text's ids are those
-    of its space-led chunks. Other texts are encoded whole.
+    of its space-led chunks. The distinct chunks of a portion are encoded in one call and
+    told apart by the bytes that each token stands for. Other texts are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -44,28 +48,56 @@ class Chunks(dict):
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self._ranks = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._sizes[list(ranks.values())] = [len(token) for token in ranks]
         self._file = public_tokenizers.path(f"{vocabulary}.json")
         self._full = None
-        self._meets = re.compile(r"\s\s")
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self._ranks.encode_to_numpy(chunk, disallowed_special=()).astype("<u4").tobytes()
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:  # may hold a special token, which only the tokenizer itself treats as one
-            if self._full is None:
-                from tokenizers import Tokenizer
-
-                self._full = Tokenizer.from_file(self._file)
-            return np.array(self._full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self._meets.search(text):
-            return self._ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + word] for word in rest])
+    def _ids(self, text: str) -> np.ndarray:
+        return self._ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+
+    def _whole(self, text: str) -> bytes:
+        if "<|" not in text:
+            return self._ids(text).tobytes()
+        if self._full is None:  # it may hold a special token, which only the tokenizer itself treats as one
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self._file)
+        return np.array(self._full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of space-led chunks one after the other, and where each one's begin."""
+        led = pc.binary_join_element_wise(pa.scalar(""), chunks, " ")
+        ids = self._ids("".join(led.to_pylist()))
+        sizes = pc.binary_length(led).to_numpy(zero_copy_only=False)
+        return ids, np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum(sizes) - sizes, side="right")
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a portion; null is empty."""
+        apart = pc.fill_null(pc.match_substring_regex(texts, _APART), False)
+        out = [self._whole(text) if whole else b"" for text, whole in zip(texts.to_pylist(), apart.to_pylist(), strict=True)]
+        rest = np.flatnonzero(~apart.to_numpy(zero_copy_only=False))
+        found = find_words(texts.take(pa.array(rest)), CHUNKS, lower=False)
+        if not len(found.row):
+            return out
+        codes, words = found.coded()
+        starts = np.searchsorted(found.row, np.arange(len(rest) + 1))
+        ids, first = self._chunks(words)
+        counts = np.diff(np.append(first, len(ids)))
+        # The first chunk of a text has a space before it only where the text begins with one.
+        bare = starts[:-1][np.diff(starts) > 0]
+        bare = bare[found.inner[bare] == 0]
+        own = [self._ids(chunk) for chunk in found.words.take(pa.array(bare)).to_pylist()]
+        begins, lengths = first[codes], counts[codes]
+        lengths[bare] = [len(i) for i in own]
+        begins[bare] = len(ids) + np.cumsum(lengths[bare]) - lengths[bare]
+        flat = np.concatenate([ids, *own])
+        ends = np.cumsum(lengths)
+        tokens = flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()
+        edges = np.concatenate([[0], ends])[starts] * 4
+        for i, row in enumerate(rest.tolist()):
+            out[row] = tokens[edges[i] : edges[i + 1]]
+        return out
 
 
 def _cut_ids(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -82,13 +114,13 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: in
     after them. A null or empty text has the end id alone."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(vocabulary)
+        encoder = Encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in portions_by_size(batches, "text"):
             rows = [
                 (doc_id, number, *piece)
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for number, piece in enumerate(_cut_ids(chunks.encode(text or "") + end, capacity))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True)
+                for number, piece in enumerate(_cut_ids(ids + end, capacity))
             ]
             if rows:
                 ids, number, start, length, crc = zip(*rows, strict=True)

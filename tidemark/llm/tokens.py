@@ -35,18 +35,22 @@ ALPHANUMERIC = _classes(lambda b: b >= 0x80 or chr(b).isalnum())
 LETTERS = _classes(lambda b: b >= 0x80 or chr(b).isalpha())
 # `[^\x20\x09]+` in pieces between `[.,;:!?\x0A-\x0D]`
 SPACED = _classes(lambda b: b not in b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
+# Between single spaces
+CHUNKS = _classes(lambda b: b != 0x20)
 
 
 @dataclass
 class Words:
     """Words of a portion in order: their text, the row and the piece (rows are pieces of
-    their own) that holds each, and the bytes that it takes, from the start of the portion."""
+    their own) that holds each, the bytes that it takes, from the start of the portion, and
+    the bytes of its row before it."""
 
     words: pa.StringArray
     row: np.ndarray
     piece: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    inner: np.ndarray
 
     def coded(self) -> tuple[np.ndarray, pa.StringArray]:
         """A number for each word, and the distinct words by number."""
@@ -67,7 +71,7 @@ def portions_by_size(batches: Iterator[pa.RecordBatch], text: str, most: int = P
             at = stop
 
 
-def find_words(texts: pa.Array, kinds: np.ndarray) -> Words:
+def find_words(texts: pa.Array, kinds: np.ndarray, lower: bool = True) -> Words:
     """Words of every text; null has none."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -84,10 +88,11 @@ def find_words(texts: pa.Array, kinds: np.ndarray) -> Words:
     last[:-1] &= first[1:] | ~inside[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[inside]]))
+    letters = _LOWER[data[inside]] if lower else data[inside]
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(letters))
     row = np.searchsorted(offsets, start, side="right") - 1
     piece = np.searchsorted(np.flatnonzero(kind == BREAK), start) + row
-    return Words(words, row, piece, start, end)
+    return Words(words, row, piece, start, end, start - offsets[row])
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
