@@ -107,6 +107,6 @@ def test_registered_sweep_is_the_published_one(spark, monkeypatch):
     monkeypatch.setattr(modelling, "sweep", sweep)
     models.sweep_metrics(spark, SF)
     assert asked["models"] == modelling.model_specs()
-    assert asked["models"]["gradient_boosted_trees"].estimator(10, 1).getMaxIter() == 250
+    assert asked["models"]["gradient_boosted_trees"].trees().trees == 250
     assert asked["variants"] == modelling.variants(features.FAMILIES) and len(asked["variants"]) == 12
     assert all(x is not None for x in (asked["inputs"].patents, asked["inputs"].partner_features, asked["inputs"].homepage_rows))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import digest_uniform, key_digest, poisson_one
 from tidemark.functions.text import percent, percent_interval
 from tidemark.operators.metrics import MODEL, top_rows
 from tidemark.sources.sinks import cut
@@ -42,10 +44,10 @@ def bootstrap_precision(
     """Precision of the best k rows of each resample, per (model, variant, replicate).
 
     Each row is drawn Poisson(1) times per replicate, decided by a hash of the row and the
-    replicate, so all variants of one replicate share the same resample. Only rows near the
-    top can enter: the best ``k + margin`` rows are kept, and if they cannot fill every
-    replicate, the margin is widened until they do or all rows are kept. ``cluster_by`` (for
-    instance the entity) draws whole clusters.
+    replicate, so all variants of one replicate share the same resample: draws are made once
+    per row for all replicates. Only rows near the top can enter: the best ``k + margin`` rows
+    are kept, and if they cannot fill every replicate, the margin is widened until they do or
+    all rows are kept. ``cluster_by`` (for instance the entity) draws whole clusters.
     """
     margin = 10 * math.ceil(math.sqrt(k)) + 50 if margin is None else margin
     slim = pred.select(*MODEL, *key, label, "score")
@@ -57,20 +59,45 @@ def bootstrap_precision(
     return filled.select(*MODEL, "replicate", F.try_divide("hits", "drawn").alias("precision"))
 
 
+def draws(units: DataFrame, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """``unit`` and ``copies``: a byte per replicate, how often the unit is drawn there. A
+    digest of the unit and every fourth replicate gives the uniforms of four replicates."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in unit])
+    kept = units.select(*unit)
+    # the distribution function of Poisson(1), which uniforms are held against
+    steps = np.cumsum([math.exp(-1.0) / math.factorial(count) for count in range(12)])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(unit)).to_pylist()
+            digests = b"".join(md5(f"{t}|{four}|{seed}".encode()).digest() for t in texts for four in range(-(-n_boot // 4)))
+            uniforms = (np.frombuffer(digests, ">u4").reshape(len(texts), -1)[:, :n_boot] + 0.5) / 2.0**32
+            copies = np.searchsorted(steps, uniforms).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(unit)], pa.array([row.tobytes() for row in copies], pa.binary())], names=[*unit, "copies"])
+
+    return units.select(*unit, text.alias("_text")).mapInArrow(draw, kept.schema.add("copies", "binary"))
+
+
 def _replicates(
     slim: DataFrame, label: str, key: Sequence[str], k: int, n_boot: int, seed: int, cluster_by: Sequence[str] | None, depth: int
 ) -> DataFrame:
-    """Hits and rows drawn per (model, variant, replicate) from the best ``depth`` rows."""
-    top = top_rows(slim, depth, key)
-    unit = [F.col(c) for c in (cluster_by or key)]
-    draws = top.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    weight = poisson_one(digest_uniform(key_digest(*unit, F.col("replicate"), seed)))
-    ordered = Window.partitionBy(*MODEL, "replicate").orderBy("top_rank").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = draws.withColumn("w", weight).withColumn("upto", F.sum("w").over(ordered))
-    used = F.greatest(F.lit(0), F.least(F.col("w"), F.lit(k) - (F.col("upto") - F.col("w"))))
-    return drawn.groupBy(*MODEL, "replicate").agg(
-        F.sum(used * F.col(label)).alias("hits"), F.sum(used).alias("drawn"), F.max("top_rank").alias("kept")
-    )
+    """Hits and rows drawn per (model, variant, replicate) from the best ``depth`` rows, which
+    is all that a task holds."""
+    unit = list(cluster_by or key)
+    top = cut(top_rows(slim, depth, key), "bootstrap-top")
+    drawn = draws(top.select(*unit).distinct(), unit, n_boot, seed)
+
+    def resample(table: pa.Table) -> pa.Table:
+        table = table.sort_by("top_rank")
+        copies = np.frombuffer(b"".join(table["copies"].to_pylist()), np.uint8).reshape(table.num_rows, -1).astype(np.int64)
+        before = np.cumsum(copies, axis=0) - copies
+        used = np.clip(k - before, 0, copies)
+        columns = {c: pa.array([table[c][0].as_py()] * n_boot, pa.string()) for c in MODEL}
+        columns |= {"replicate": pa.array(range(n_boot), pa.int32()), "hits": pa.array(table["y"].to_numpy() @ used), "drawn": pa.array(used.sum(axis=0))}
+        return pa.table(columns | {"kept": pa.array([int(table["top_rank"].to_numpy()[-1])] * n_boot, pa.int64())})
+
+    rows = top.join(drawn, unit).select(*MODEL, "top_rank", F.col(label).cast("long").alias("y"), "copies")
+    return rows.groupBy(*MODEL).applyInArrow(resample, "model string, variant string, replicate int, hits long, drawn long, kept long")
 
 
 def bootstrap_deltas(replicates: DataFrame, baseline: str = BASELINE) -> DataFrame:

@@ -237,7 +237,7 @@ PAIRED = f"""WITH {S.PREDICTIONS} SELECT model, c.variant, count(*)::BIGINT AS r
   sum((c.score > b.score)::INTEGER)::BIGINT AS higher FROM pred c JOIN pred b USING (model, company_uuid, quarter_idx)
   WHERE b.variant = 'baseline' AND c.variant <> 'baseline' GROUP BY 1, 2"""
 
-BOOT_K, BOOT_N = 100, 100
+BOOT_K, BOOT_N = 500, 500
 
 
 def bootstrap(spark, sf):
@@ -245,12 +245,20 @@ def bootstrap(spark, sf):
     return _rounded(gates.bootstrap_deltas(reps), ["model", "variant"])
 
 
-_BU = S.uniform(S.digest("company_uuid", "quarter_idx", "b", "42"))
-_BOOT = f"""top_rows AS (SELECT *, {_TOP} AS top_rank FROM pred QUALIFY {_TOP} <= {BOOT_K + 150}),
-  drawn AS (SELECT model, variant, b, top_rank, label, {_BU} AS u FROM top_rows, (SELECT unnest(range({BOOT_N})) AS b)),
-  weights AS (SELECT *, CASE WHEN u <= 0.36787944117144233 THEN 0 WHEN u <= 0.73575888234288467 THEN 1 WHEN u <= 0.91969860292860584 THEN 2
-    WHEN u <= 0.98101184312384626 THEN 3 WHEN u <= 0.99634015317265634 THEN 4 WHEN u <= 0.99940581518241836 THEN 5
-    WHEN u <= 0.99991675885071196 THEN 6 WHEN u <= 0.99998975080332537 THEN 7 WHEN u <= 0.99999887479740203 THEN 8 ELSE 9 END AS w FROM drawn),
+# The distribution function of Poisson(1).
+_POISSON = [
+    0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626, 0.99634015317265634, 0.99940581518241836,
+    0.99991675885071196, 0.99998975080332537, 0.99999887479740203, 0.99999988857452171,
+]
+_COPIES = "CASE " + " ".join(f"WHEN u <= {p} THEN {n}" for n, p in enumerate(_POISSON)) + " ELSE 10 END"
+_FOUR = S.digest("company_uuid", "quarter_idx", "four", "42")
+_BOOT = f"""top_rows AS (SELECT *, {_TOP} AS top_rank FROM pred),
+  fours AS (SELECT company_uuid, quarter_idx, four, {_FOUR} AS digest
+    FROM (SELECT DISTINCT company_uuid, quarter_idx FROM pred), (SELECT unnest(range({BOOT_N // 4})) AS four)),
+  uniforms AS (SELECT company_uuid, quarter_idx, 4 * four + slot AS b, (('0x' || substring(digest, (8 * slot + 1)::INTEGER, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+    FROM fours, (SELECT unnest(range(4)) AS slot)),
+  draws AS (SELECT company_uuid, quarter_idx, b, {_COPIES} AS w FROM uniforms),
+  weights AS (SELECT t.model, t.variant, t.top_rank, t.label, d.b, d.w FROM top_rows t JOIN draws d USING (company_uuid, quarter_idx)),
   upto AS (SELECT *, sum(w) OVER (PARTITION BY model, variant, b ORDER BY top_rank ROWS UNBOUNDED PRECEDING) AS cum FROM weights),
   reps AS (SELECT model, variant, b, sum(greatest(0, least(w, {BOOT_K} - (cum - w))) * label) / sum(greatest(0, least(w, {BOOT_K} - (cum - w)))) AS prec FROM upto GROUP BY 1, 2, 3),
   deltas AS (SELECT c.model, c.variant, avg(c.prec - a.prec) AS delta_vs_baseline, quantile_cont(c.prec - a.prec, 0.025) AS ci_low,
