@@ -93,6 +93,17 @@ def test_keep_one(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_keep_one_decides_by_row(spark):
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, t), (5, t), (5, u), (6, u), (6, u), (7, "z"), (7, ""), (7, ""), (None, t), (8, t + " c")]
+    frame = spark.createDataFrame([(*r, i % 2, "n", 1, 2) for i, r in enumerate(rows)], "doc_id long, text string, nth int, _nth string, others int, digest int")
+    kept = keep_one(frame)
+    assert kept.schema == frame.schema
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in kept.collect())
+    assert got == sorted([(3, t), (5, u), (7, "z"), (7, ""), (-1, t)])
+    assert keep_one(frame.limit(0)).count() == 0
+
+
 def test_overlaps_and_forest():
     rng = np.random.default_rng(4)
     matrix = rng.random((70, 90)) < 0.3

@@ -74,7 +74,7 @@ def gram_hashes(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.
 def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
     """Column blocks: n-grams of a batch of documents per block, and a row of measures per
     document (blocks below 0). Copies inside a batch send their n-grams once."""
-    schema = "block int, batch long, grams binary, places binary, doc_id long, size int, digest long"
+    schema = "block int, batch long, grams binary, places binary, doc_id long, size int, digest long, text_hash long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -92,7 +92,7 @@ def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             batch = base | number << 16
             ids = [m[0] for m in measures]
-            yield _batch([-1 - (TaskContext.get().partitionId() + 31 * number) % MEASURE_BLOCKS] * len(ids), [batch | i for i in range(len(ids))], None, None, ids, [m[1] for m in measures], [m[2] for m in measures])
+            yield _batch([-1 - (TaskContext.get().partitionId() + 31 * number) % MEASURE_BLOCKS] * len(ids), [batch | i for i in range(len(ids))], None, None, ids, [m[1] for m in measures], [m[2] for m in measures], [m[3] for m in measures])
             if not held:
                 return
             grams = np.concatenate(held)
@@ -108,18 +108,18 @@ def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
                 some = rows[i : i + 512]
                 yield _batch(
                     [b for b, _, _ in some], [batch] * len(some), [low[s:e].tobytes() for _, s, e in some],
-                    [_planes(owner[s:e]) for _, s, e in some], None, None, None,
+                    [_planes(owner[s:e]) for _, s, e in some], None, None, None, None,
                 )
 
         for arrived in portions(batches):
-            for doc_id, text in zip(arrived.column(0).to_pylist(), arrived.column(1).to_pylist(), strict=True):
+            for doc_id, text, text_hash in zip(*(arrived.column(i).to_pylist() for i in range(3)), strict=True):
                 grams = gram_hashes(text, hashes, width)
                 digest = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
                 if digest is not None and digest not in seen:
                     seen.add(digest)
                     held.append(grams)
                     places.append(len(measures))
-                measures.append((doc_id, len(grams), digest))
+                measures.append((doc_id, len(grams), digest, text_hash))
                 words += len(grams)
                 if words >= WORDS_PER_BATCH or len(measures) >= DOCS_PER_BATCH:
                     yield from flush()
@@ -128,15 +128,15 @@ def _dealt(docs: DataFrame, bits: int, width: int) -> DataFrame:
         if measures:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(deal, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(deal, schema)
 
 
-def _batch(block, batch, grams, places, doc_id, size, digest) -> pa.RecordBatch:
+def _batch(block, batch, grams, places, doc_id, size, digest, text_hash) -> pa.RecordBatch:
     n = len(block)
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-    columns = (block, batch, grams, places, doc_id, size, digest)
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    columns = (block, batch, grams, places, doc_id, size, digest, text_hash)
     arrays = [pa.nulls(n, kind) if c is None else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["block", "batch", "grams", "places", "doc_id", "size", "digest"])
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "batch", "grams", "places", "doc_id", "size", "digest", "text_hash"])
 
 
 def _planes(owner: np.ndarray) -> bytes:
@@ -151,14 +151,15 @@ def _owners(planes: bytes) -> np.ndarray:
 
 
 def _shared_columns(dealt: DataFrame) -> DataFrame:
-    """``uid, doc_id, size, digest`` of every document and ``uid, gram`` of every n-gram that
+    """``uid, doc_id, size, digest, text_hash`` of every document and ``uid, gram`` of every n-gram that
     two texts of a column block hold. A block beyond ``ENTRIES_HELD`` is passed on whole:
     the pass only thins out, so what follows stays exact."""
-    schema = "uid long, doc_id long, size int, digest long, gram long"
+    schema = "uid long, doc_id long, size int, digest long, text_hash long, gram long"
+    names = ["uid", "doc_id", "size", "digest", "text_hash", "gram"]
 
     def out(uid: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(uid), kind) for kind in (pa.int64(), pa.int32(), pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(uid), *none, pa.array(gram)], names=["uid", "doc_id", "size", "digest", "gram"])
+        none = [pa.nulls(len(uid), kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(uid), *none, pa.array(gram)], names=names)
 
     def shared(gram: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(gram)
@@ -181,8 +182,8 @@ def _shared_columns(dealt: DataFrame) -> DataFrame:
         for batch in batches:
             measures = batch.filter(pa.compute.less(batch.column(0), 0))
             if measures.num_rows:
-                columns = [measures.column(i) for i in (1, 4, 5, 6)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(measures.num_rows, pa.int64())], names=["uid", "doc_id", "size", "digest", "gram"])
+                columns = [measures.column(i) for i in (1, 4, 5, 6, 7)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(measures.num_rows, pa.int64())], names=names)
             for block, first, low, planes in zip(*(batch.column(i) for i in range(4)), strict=True):
                 block = block.as_py()
                 if block < 0:
@@ -275,7 +276,10 @@ def _linked(product: pa.Table) -> pa.Table:
     n = len(uid)
     rows = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
     common = overlaps(rows, lists.flatten().to_numpy(), n)
-    linked = 100.0 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+    # Counts are float32, exact up to 2^24; the test itself must be in doubles.
+    both = size[:, None] + size[None, :]
+    both *= PERCENT
+    linked = common.astype(np.float64) * (100 + PERCENT) >= both
     np.fill_diagonal(linked, False)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
@@ -318,18 +322,13 @@ def _products(sets: DataFrame) -> DataFrame:
     return rows.select("component", "uid", "size", "grams", F.inline(F.concat(inside, beside)))
 
 
-def ngram_jaccard(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per document.
-
-    Null and empty texts have no n-grams and are linked with nothing. Copies form one row of
-    the matrix and are linked with each other. Repeated rows stay; a null id counts in no
-    minimum (a group of null ids alone has a null component); an empty table gives no rows;
-    columns other than ``doc_id, text`` are not read.
-    """
+def _grouped(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, size, digest, text_hash`` of every document, and ``digest, component,
+    component_id`` of every text with words (equal sets of n-grams are one text)."""
     letters = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(6, math.ceil(math.log2(max(1, letters / 6 / ENTRIES_PER_BLOCK))))
     found = cut(_shared_columns(_dealt(docs, bits, width)), "shared_grams")
-    measures = found.filter("gram is null").select("uid", "doc_id", "size", "digest")
+    measures = found.filter("gram is null").select("uid", "doc_id", "size", "digest", "text_hash")
     texts = cut(
         measures.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.min("doc_id").alias("least_id")),
         "texts",
@@ -347,20 +346,43 @@ def ngram_jaccard(docs: DataFrame, width: int = WORDS) -> DataFrame:
     groups = components(links).withColumnRenamed("node", "uid")
     labelled = texts.join(groups, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = labelled.join(least, "component").select("digest", "component_id")
-    out = measures.join(labels, "digest", "left")
+    return measures, labelled.join(least, "component").select("digest", "component", "component_id")
+
+
+def ngram_jaccard(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per document.
+
+    Null and empty texts have no n-grams and are linked with nothing. Copies form one row of
+    the matrix and are linked with each other. Repeated rows stay; a null id counts in no
+    minimum (a group of null ids alone has a null component); an empty table gives no rows;
+    columns other than ``doc_id, text`` are not read.
+    """
+    measures, labels = _grouped(docs, width)
+    out = measures.join(labels.drop("component"), "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``docs`` with one document per group of linked ones, that with the smallest id, and
-    one row of equal texts under one id. Documents without words and rows without an id,
-    which cannot be told apart, stay."""
-    known = docs.filter("doc_id is not null")
-    groups = ngram_jaccard(known.select("doc_id", "text"), width)
-    kept = groups.filter("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    first = known.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return first.select(*columns).unionByName(docs.filter("doc_id is null").select(*columns))
+    """``docs`` with one row per group of linked texts: that with the smallest id, and among
+    unequal texts under that id the one with the smallest hash. An id that stands for several
+    texts is decided text by text.
+
+    Equal texts under one id are one row, also without words. Documents without words and
+    rows without an id, which cannot be told apart, stay. Any other columns are handed on as
+    they are, whatever their names; an empty table gives no rows.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("others"))
+    known = packed.filter("doc_id is not null")
+    measures, labels = _grouped(known.select("doc_id", "text"), width)
+    place = F.struct("doc_id", "text_hash")
+    chosen = measures.join(labels.select("digest", "component"), "digest").groupBy("component").agg(F.min(place).alias("place"))
+    wordless = measures.filter("digest is null").select(place.alias("place")).distinct()
+    kept = chosen.select("place.*").unionByName(wordless.select("place.*"))
+    same = Window.partitionBy("doc_id", "text_hash").orderBy("doc_id")
+    rows = known.withColumn("text_hash", F.xxhash64("text")).join(kept, ["doc_id", "text_hash"], "left_semi")
+    first = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    out = first.select("doc_id", "text", "others").unionByName(packed.filter("doc_id is null"))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns)
