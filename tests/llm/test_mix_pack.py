@@ -48,6 +48,17 @@ def test_mixed_documents(spark, sf, odd_docs):
         assert got == want
 
 
+def test_mixing_with_clashing_names(spark):
+    rows = [(i, "w " * (i + 1), "st"[i % 2], 2 * i + 2, i, -i, f"t{i}") for i in range(40)] + [(None, None, None, None, 1, 1, "n"), (3, "w w", None, 3, 3, 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, _size int, nth int, taken string")
+    mixed = mix_sources(docs)
+    assert mixed.schema == docs.schema
+    given = {(r[0], r[2]): r[4:] for r in rows}
+    got = mixed.collect()
+    assert got and all(tuple(r)[4:] == given[(r.doc_id, r.source)] for r in got)
+    assert mix_sources(docs.limit(0)).count() == 0
+
+
 def check_pack(rows, docs, capacity=2048):
     from public_tokenizers import path
     from tokenizers import Tokenizer

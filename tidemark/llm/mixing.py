@@ -95,21 +95,32 @@ def _end_of_words(text: str, n: str) -> Column:
 def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed documents themselves: each row repeated once per whole pass, and the leading
     part of a document whose last pass stops inside it. Columns are those of ``docs``, with
-    ``n_chars`` counted anew for a leading part. Documents of no words take no part."""
-    sizes = mixed_sizes(docs, max_epochs, seed).select("doc_id", F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("taken").alias("_taken"))
+    ``n_chars`` counted anew for a leading part; other columns are handed on as they are,
+    whatever their names. Documents of no words, null texts among them, take no part. Null
+    ids and null sources are values like others; of repeated rows each takes its own words;
+    an empty table gives no rows."""
+    sizes = mixed_sizes(docs, max_epochs, seed).select("doc_id", F.col("size").alias("words"), F.col("source").alias("of"), "taken")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "source", "text")]
+    packed = docs.select("doc_id", "source", "text", F.struct(*others, F.lit(0).alias("_")).alias("others"), word_count(F.col("text")).alias("size"))
     # Equal ids share their place in the order; numbering them pairs each row with one result.
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    numbered = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_nth", F.row_number().over(same))
-    also = Window.partitionBy("doc_id", "_source", "_size").orderBy("_taken")
-    sizes = sizes.withColumn("_nth", F.row_number().over(also)).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("_size", "_words").withColumnRenamed("_nth", "_number")
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_nth") == F.col("_number"))
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    joined = numbered.join(sizes, on).filter("_taken > 0").withColumn("_part", part)
-    lengths = F.concat(F.array_repeat(F.lit(0), whole), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<int>")))
-    exploded = joined.withColumn("_words_taken", F.explode(lengths))
-    leading = F.substring("text", F.lit(1), _end_of_words("text", "_words_taken"))
-    cut_text = F.when(F.col("_words_taken") > 0, leading).otherwise(F.col("text"))
-    out = exploded.withColumn("text", cut_text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words_taken") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))
+    numbered = packed.withColumn("nth", F.row_number().over(same))
+    also = Window.partitionBy("doc_id", "of", "words").orderBy("taken")
+    sizes = sizes.withColumn("number", F.row_number().over(also)).withColumnRenamed("doc_id", "id")
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words")) & (F.col("nth") == F.col("number"))
+    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    joined = numbered.join(sizes, on).filter("taken > 0").withColumn("part", part)
+    lengths = F.concat(F.array_repeat(F.lit(0), whole), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<int>")))
+    exploded = joined.withColumn("leading", F.explode(lengths))
+    leading = F.substring("text", F.lit(1), _end_of_words("text", "leading"))
+    out = exploded.withColumn("text", F.when(F.col("leading") > 0, leading).otherwise(F.col("text")))
+
+    def column(name: str) -> Column:
+        if name in ("doc_id", "source", "text"):
+            return F.col(name)
+        value = F.col("others").getField(name)
+        if name == "n_chars":
+            value = F.when(F.col("leading") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
