@@ -42,7 +42,9 @@ ADDED = (
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # A run that no second and third part follow is matched as well and dropped for its empty
+    # group: no later start inside it can do better, so each run is read once.
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}+(\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)?", 1, 1),
     Rule("bearer", r"[bB]earer\x20+[A-Za-z0-9._~+/-]{20,}"),
     Rule("url_login", r"://[A-Za-z0-9._~-]{1,64}:[^\x20\x09-\x0D/@:]{4,128}@"),
 )
@@ -87,32 +89,34 @@ def _runs(items: list) -> list[tuple[str, ...]]:
 
 
 def _matches(text: Column, rule: Rule, keep: Column) -> Column:
-    """Array of ``start, end, ok`` of the leftmost non-overlapping matches, in code points.
-    The pieces between matches give the places."""
+    """Array of ``start, end`` of the leftmost non-overlapping matches whose group is long
+    enough, in code points. The pieces between matches give the places."""
     pattern = F.lit(rule.pattern)
     zipped = F.arrays_zip(
         F.slice(F.split(text, rule.pattern, -1), 1, F.regexp_count(text, pattern)).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
     )
-    kind = "array<struct<start:int,end:int,ok:boolean>>"
+    kind = "array<struct<start:int,end:int>>"
     walk = F.aggregate(
         zipped,
         F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")),
         lambda state, x: F.struct(
             (state["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                state["found"],
-                F.array(
-                    F.struct(
-                        (state["at"] + F.length(x["gap"])).alias("start"),
-                        (state["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                        (F.length(x["part"]) >= rule.least).alias("ok"),
-                    )
+            F.when(
+                F.length(x["part"]) >= rule.least,
+                F.concat(
+                    state["found"],
+                    F.array(
+                        F.struct(
+                            (state["at"] + F.length(x["gap"])).alias("start"),
+                            (state["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
+                        )
+                    ),
                 ),
-            ).alias("found"),
+            ).otherwise(state["found"]).alias("found"),
         ),
-        lambda state: F.filter(state["found"], lambda x: x["ok"]),
+        lambda state: state["found"],
     )
     return F.when(keep, walk).otherwise(F.array().cast(kind))
 
@@ -200,8 +204,11 @@ MARK = "[secret]"
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span, or run of overlapping spans, replaced by a mark; ``n_chars``
-    counted anew where the text changed."""
-    found = secret_spans(docs)
+    counted anew where the text changed. Every row stays, repeated ones and those without an
+    id or a text too; other columns are handed on as they are, whatever their names; an empty
+    table gives no rows."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = secret_spans(docs.select("doc_id", "text", F.struct(*others).alias("others")))
     step = F.aggregate(
         "_found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -212,7 +219,14 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         lambda state: F.concat(state["out"], F.substring("text", state["at"] + 1, F.length("text"))),
     )
     changed = F.size("_found") > 0
-    out = found.withColumn("text", F.when(changed, step).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = found.select("others", changed.alias("changed"), F.when(changed, step).otherwise(F.col("text")).alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        value = F.col("others").getField(name)
+        if name == "n_chars":
+            value = F.when(F.col("changed"), F.length("text").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
