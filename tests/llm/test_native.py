@@ -1,3 +1,5 @@
+import re
+
 import brute
 import pytest
 
@@ -85,6 +87,40 @@ def test_license_votes_survive_edits(spark):
     assert got[2] == ("reserved", 1.0) and got[3] == ("", 0.0) and got[4] == ("", 0.0)
 
 
+def test_repeated_license_texts(spark):
+    texts = {1: "all rights reserved " * 5, 2: "all rights reserved " * 400, 3: "all rights all rights all rights", 4: "all rights so reserved"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_report(docs).collect()}
+    assert got[1] == got[2] == ("reserved", 1.0) and got[3] == got[4] == ("", 0.0)
+
+
+def test_signed_tokens(spark):
+    part = "eyJabcdefgh"
+    texts = {
+        1: part * 40_000, 2: f"x{part}.abcdefgh.abcdefgh-_ y", 3: f"{part}.{part}.short {part}.{part}.{part}.{part}", 4: f"{part}.abcdefgh", 5: (part + ".") * 4_000,
+        6: "eyJshort.abcdefgh.abcdefgh",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {}
+    for doc_id, text in texts.items():  # RE2-like leftmost search, run by run
+        found = re.finditer(r"eyJ[A-Za-z0-9_-]{8,}+(\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)?", text)
+        want[doc_id] = ",".join(f"signed_token:{m.start()}:{m.end()}" for m in found if m.group(1))
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    for doc_id in (2, 3, 4, 5, 6):
+        assert want[doc_id] == ",".join(f"signed_token:{m.start()}:{m.end()}" for m in plain.finditer(texts[doc_id]))
+    assert want[1] == "" and {r.doc_id: r.spans for r in secret_report(docs).collect()} == want
+
+
+def test_redaction_with_clashing_names(spark):
+    rows = [(1, "x token=abcdefgh y", 18, 7, "r", True, 5, "at")] * 2 + [(None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _row int, _rules string, _found boolean, changed int, others string")
+    got = redact_secrets(docs)
+    assert got.schema == docs.schema
+    want = [(1, "x [secret] y", 12, 7, "r", True, 5, "at")] * 2 + [rows[2]]
+    assert by_id(map(tuple, got.collect())) == by_id(want)
+    assert redact_secrets(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("report", [secret_report, license_report])
 def test_empty(odd_docs, report):
     assert report(odd_docs.limit(0)).count() == 0

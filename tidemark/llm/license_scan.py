@@ -2,8 +2,9 @@
 
 Every pair of neighbouring words of a text is hashed and joined to the places where the
 templates hold that pair. A hit votes for the diagonal ``word place - template place``. The
-votes of one diagonal are pre-aggregated, neighbouring diagonals are merged (a word more or
-less in the middle shifts the rest by one), and the merged spans are verified.
+votes of one diagonal are pre-aggregated, each diagonal is merged with its neighbours (a word
+more or less in the middle shifts the rest by one), and the merged spans are verified by the
+distinct template places that they cover.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ def template_pairs(spark: SparkSession, phrases=PHRASES, texts=TEXTS) -> DataFra
 
 
 def diagonal_votes(docs: DataFrame, templates: DataFrame, key: Column) -> DataFrame:
-    """``row, template, label, base, size, diagonal, votes, first, last``: the template places
-    of a diagonal that agree, and the word places of the outer ones."""
+    """``row, template, label, base, size, diagonal, places, first, last``: the template places
+    of a diagonal that agree, at most as many as the template has, and the word places of the
+    outer ones."""
     words = docs.select(key.alias("row"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(F.col("words")[i], F.col("words")[i + 1]))
     rolled = words.filter(F.size("words") >= 2).select("row", F.posexplode(pairs).alias("at", "pair"))
@@ -64,25 +66,25 @@ def diagonal_votes(docs: DataFrame, templates: DataFrame, key: Column) -> DataFr
     # One row per place first: repeated documents do not vote twice.
     once = hits.groupBy("row", "template", "label", "base", "size", "diagonal", "place").agg(F.first("at").alias("at"))
     keys = ["row", "template", "label", "base", "size", "diagonal"]
-    return once.groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return once.groupBy(*keys).agg(F.collect_list("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
 def verified_spans(votes: DataFrame) -> DataFrame:
     """``row, label, base, start, end, covered`` of the spans that stand.
 
-    A phrase stands where all its pairs agree on one diagonal. A text stands where merged
-    diagonals within ``SHIFT`` words of each other cover enough of it in a span of about its
-    length.
+    A phrase stands where all its pairs agree on one diagonal. A text stands where a diagonal
+    and those up to ``2 * SHIFT`` words behind it cover enough of its places together; a place
+    counts once however often it is repeated, and such a span is about as long as the text.
     """
-    full = votes.filter("base and votes = size").select("row", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("covered"))
-    near = Window.partitionBy("row", "template").orderBy("diagonal")
-    texts = votes.filter("not base").withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > SHIFT).cast("int"), F.lit(1)))
-    merged = texts.withColumn("_run", F.sum("_new").over(near)).groupBy("row", "template", "label", "base", "size", "_run").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 1).alias("end")
+    full = votes.filter(F.col("base") & (F.size("places") == F.col("size"))).select(
+        "row", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("covered")
     )
-    covered = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
-    stands = (covered >= COVERED) & (F.col("end") - F.col("start") <= F.col("size") + 2 * SHIFT)
-    return full.unionByName(merged.filter(stands).select("row", "label", "base", "start", "end", covered.alias("covered")))
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, 2 * SHIFT)
+    merged = votes.filter("not base").select(
+        "row", "label", "base", F.min("first").over(near).alias("start"), (F.max("last").over(near) + 1).alias("end"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))) / F.col("size")).alias("covered"),
+    )
+    return full.unionByName(merged.filter(F.col("covered") >= COVERED))
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -109,16 +109,15 @@ pairs AS (SELECT r, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT r, w, un
 templates AS (SELECT t, label, base, string_split(body, ' ') AS w FROM (VALUES {_TEMPLATE_ROWS}) v(t, body, label, base)),
 places AS (SELECT t, label, base, len(w) - 1 AS size, i - 1 AS place, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM templates)),
 votes AS (
-  SELECT r, t, label, base, size, pos - place AS diagonal, count(*) AS votes, min(pos) AS first_pos, max(pos) AS last_pos
+  SELECT r, t, label, base, size, pos - place AS diagonal, list(place) AS agreed, min(pos) AS first_pos
   FROM pairs JOIN places USING (a, b) GROUP BY ALL),
-phrases AS (SELECT r, label, base, diagonal AS start, 1.0::DOUBLE AS covered FROM votes WHERE base AND votes = size),
-stepped AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS fresh FROM votes WHERE NOT base),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY diagonal) AS run FROM stepped),
-merged AS (SELECT r, t, label, base, size, run, sum(votes) AS votes, min(first_pos) AS start, max(last_pos) + 1 AS stop FROM runs GROUP BY r, t, label, base, size, run),
+phrases AS (SELECT r, label, base, diagonal AS start, 1.0::DOUBLE AS covered FROM votes WHERE base AND len(agreed) = size),
+merged AS (
+  SELECT r, label, base, first_pos, len(list_distinct(flatten(list(agreed) OVER w))) / size AS covered FROM votes WHERE NOT base
+  WINDOW w AS (PARTITION BY r, t ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND 6 FOLLOWING)),
 spans AS (
   SELECT * FROM phrases UNION ALL
-  SELECT r, label, base, start, least(1.0, votes / size)::DOUBLE AS covered FROM merged WHERE votes / size >= 0.75 AND stop - start <= size + 6),
+  SELECT r, label, base, first_pos AS start, covered::DOUBLE AS covered FROM merged WHERE covered >= 0.75),
 found AS (
   SELECT r, count(*) FILTER (WHERE base)::BIGINT AS n_base, min(start) FILTER (WHERE base)::BIGINT AS first_word, max(start) FILTER (WHERE base)::BIGINT AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
