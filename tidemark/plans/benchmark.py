@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import posixpath
 from collections.abc import Mapping
-from dataclasses import dataclass, is_dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import PanelSpec
 from tidemark.operators import audit, availability, gates, labels, metrics, rank_ic
-from tidemark.plans import features, modelling
+from tidemark.plans import features, incremental, modelling
 from tidemark.plans.panel import PanelInputs
 from tidemark.sources.contracts import contract
 from tidemark.sources.sinks import Cuts, cut, stage, write_table
@@ -52,27 +52,21 @@ def frame_key(inputs: PanelInputs, spec: PanelSpec, input_version: str, options:
 
 
 def _text(value: object) -> str:
-    if isinstance(value, DataFrame):
-        return f"{value.schema.simpleString()}#{value.semanticHash()}"
-    if is_dataclass(value):
-        return _text(vars(value))
-    if isinstance(value, Mapping):
-        return str({k: _text(v) for k, v in sorted(value.items())})
-    if isinstance(value, (list, tuple)):
-        return str([_text(v) for v in value])
-    return str(value)
+    return incremental.setting_text(value, lambda table: f"{table.schema.simpleString()}#{table.semanticHash()}")
 
 
 def run_benchmark(
-    spark: SparkSession, inputs: PanelInputs, spec: PanelSpec, input_version: str,
+    spark: SparkSession, inputs: PanelInputs, spec: PanelSpec, input_version: str | None = None,
     models: Mapping[str, modelling.ModelSpec] | None = None, n_boot: int = 500, max_train_rows: int | None = None,
     check_placebo: bool = True, **panel_options,
 ) -> Benchmark:
     """Build the frame, fit and score every model and variant, and derive the reports.
 
     The frame is a stage table named by the settings, the options and ``input_version`` (a
-    name the caller changes with the data): a rerun picks it up and builds nothing. Tables
-    that only this run needs are listed in ``scratch``; ``write_results`` removes them.
+    name the caller changes with the data): a rerun picks it up and builds nothing. Without
+    one the inputs are fingerprinted, which reads them once, and the panel is kept per entity
+    bucket: only buckets whose inputs changed are built again. Tables that only this run
+    needs are listed in ``scratch``; ``write_results`` removes them.
     """
     with Cuts() as scratch:
         result = _benchmark(spark, inputs, spec, input_version, models, n_boot, max_train_rows, check_placebo, panel_options)
@@ -82,8 +76,12 @@ def run_benchmark(
 
 def _benchmark(spark, inputs, spec, input_version, models, n_boot, max_train_rows, check_placebo, panel_options) -> Benchmark:
     key = [spec.entity, spec.period]
-    named = frame_key(inputs, spec, input_version, panel_options)
-    frame = stage(spark, "model-frame", named, lambda: features.model_frame(inputs, spec, **panel_options).frame)
+    if input_version is None:
+        kept = incremental.kept_panel(spark, inputs, spec, **panel_options)
+        frame = stage(spark, "model-frame", kept.fingerprint, lambda: features.across_entities(kept.table, spec))
+    else:
+        named = frame_key(inputs, spec, input_version, panel_options)
+        frame = stage(spark, "model-frame", named, lambda: features.model_frame(inputs, spec, **panel_options).frame)
     train, test = (frame.filter(F.col("split") == s) for s in ("train", "test"))
 
     usable = {fam: availability.present_columns(frame, cols) for fam, cols in features.FAMILIES.items()}

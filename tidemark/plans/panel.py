@@ -67,6 +67,20 @@ def default_exit_sources(inputs: PanelInputs, links: DataFrame, spec: PanelSpec)
     ]
 
 
+def default_asof(inputs: PanelInputs) -> DataFrame:
+    """The date up to which all six dated tables are complete."""
+    return spine.data_asof(
+        [
+            (inputs.companies, "collected_at"),
+            (inputs.funding_rounds, "announced_on"),
+            (inputs.acquisitions, "announced_on"),
+            (inputs.ipos, "went_public_on"),
+            (inputs.vc_deals, "deal_date"),
+            (inputs.buyout_deals, "deal_date"),
+        ]
+    )
+
+
 def round_block(rounds: DataFrame, spec: PanelSpec) -> FactBlock:
     facts = rounds_by_period(rounds, spec.entity, spec.unit).withColumn("round_q", F.col("fact_period"))
     return FactBlock(
@@ -147,17 +161,7 @@ def build_panel(
     links = matching.crosswalk_first(match.entities, match.ledger, spec.entity, spec.unit)
     sources = default_exit_sources(inputs, links, spec) if exit_sources is None else exit_sources
     exits = labels.first_exit(labels.exit_events(sources, spec), spec)
-    if asof is None:
-        asof = spine.data_asof(
-            [
-                (inputs.companies, "collected_at"),
-                (inputs.funding_rounds, "announced_on"),
-                (inputs.acquisitions, "announced_on"),
-                (inputs.ipos, "went_public_on"),
-                (inputs.vc_deals, "deal_date"),
-                (inputs.buyout_deals, "deal_date"),
-            ]
-        )
+    asof = default_asof(inputs) if asof is None else asof
     last_period = spine.mature_end(asof, spec)
 
     base = spine.entity_base(inputs.companies, inputs.funding_rounds, spec, sector)
