@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,6 +123,29 @@ def test_streamed_ingest_resumes_and_skips_finished_domains(spark, tmp_path):
     }
 
 
+def test_taken_domains_are_state_not_log(spark, tmp_path):
+    """A batch does not read earlier ones: with another folder for its tables it still skips."""
+    staged, out, later, ck = (str(tmp_path / n) for n in ("staged", "out", "later", "ck"))
+    fields = ["website_domain", "cdx_http_status", "payload", "error"]
+
+    def drop(name, *records):
+        put(f"{staged}/{name}.json", "\n".join(json.dumps(dict(zip(fields, r))) for r in records))
+
+    answers = [("a.com", 200, listing("20110601000000"), ""), ("a.com", 0, None, "timeout"), ("a.com", 200, None, "")]
+    drop("1", *answers, *answers, (None, 200, "[]", ""), ("", 200, "[]", ""))
+    ingest.ingest_listings(spark, staged, out, ck)
+    log = {r.website_domain: (r.cdx_http_status, r.snapshot_rows, r.error) for r in ingest.taken_log(spark, out).collect()}
+    assert log == {"a.com": (200, 1, ""), "": (200, 0, "")}
+    before = spark.conf.get(ingest.STATE_STORE)
+    drop("2", *answers, ("b.com", 200, listing("20120601000000"), None), ("b.com", 200, listing("20120601000000"), ""))
+    ingest.ingest_listings(spark, staged, later, ck)
+    assert spark.conf.get(ingest.STATE_STORE) == before
+    assert [tuple(r)[:1] for r in ingest.taken_log(spark, later).collect()] == [("b.com",)]
+    assert [r.timestamp for r in ingest.taken_snapshots(spark, later).collect()] == ["20120601000000"]
+    with pytest.raises(ValueError, match="no progress"):
+        ingest.ingest_listings(spark, staged, out, str(tmp_path / "other"))
+
+
 def test_crawl_takes_up_where_it_stopped(spark, tmp_path):
     from tidemark.plans.crawl import build_proxy
 
