@@ -1,10 +1,12 @@
+import random
 import re
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.license_scan import license_report
-from tidemark.llm.quality import BITS, POLICIES, ablations, apply_policy, measure, quality_ledger
+from tidemark.llm.quality import BITS, POLICIES, _repeated_words, ablations, apply_policy, measure, quality_ledger
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.secret_scan import RULES, redact_secrets, secret_report, trigram_query
 
@@ -124,3 +126,12 @@ def test_redaction_with_clashing_names(spark):
 @pytest.mark.parametrize("report", [secret_report, license_report])
 def test_empty(odd_docs, report):
     assert report(odd_docs.limit(0)).count() == 0
+
+
+def test_repeated_words_do_not_rest_on_hashes(spark):
+    """With 60 bits given to places, 4 are left for hashes: nearly all windows collide."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") + rng.choice("uvwxyz") for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 60, 300, 3000)]
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "doc_id long, words array<string>")
+    got = {r.doc_id: r.n for r in docs.select("doc_id", _repeated_words(F.col("words"), 60).alias("n")).collect()}
+    assert got == {i: brute.quality(t)[4] for i, t in enumerate(texts)}

@@ -47,14 +47,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _repeated_words(words: Column) -> Column:
+def _repeated_words(words: Column, least_bits: int = 1) -> Column:
     """Words inside three-word windows that occur at least twice.
 
     A window is a number whose low bits are its place and whose high bits are its hash, so
-    that sorting plain numbers brings equal windows together: linear memory, no pairs.
+    that sorting plain numbers brings equal windows together: linear memory, no pairs. The
+    few places that share a hash are then sorted by the words themselves, so that windows
+    count as equal only if their words are.
     """
     count = F.size(words)
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(count, F.lit(2)))) + 1).cast("int")
+    bits = F.greatest(F.lit(least_bits), F.ceil(F.log2(F.greatest(count, F.lit(2)))) + 1).cast("int")
 
     def windows(words: Column, bits: Column) -> Column:
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
@@ -63,7 +65,7 @@ def _repeated_words(words: Column) -> Column:
             lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
         )
 
-    def covered(found: Column, bits: Column) -> Column:
+    def meeting(found: Column, bits: Column) -> Column:
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
         high = lambda i: F.call_function("shiftright", found[i], bits)
         twice = F.filter(
@@ -71,10 +73,28 @@ def _repeated_words(words: Column) -> Column:
             lambda x, i: ((i > 0) & (high(F.greatest(i - 1, F.lit(0))) == F.call_function("shiftright", x, bits)))
             | ((i < F.size(found) - 1) & (high(F.least(i + 1, F.size(found) - 1)) == F.call_function("shiftright", x, bits))),
         )
-        places = F.transform(twice, lambda x: x.bitwiseAND(low))
+        return F.transform(twice, lambda x: x.bitwiseAND(low).cast("int"))
+
+    def spelled(places: Column, words: Column) -> Column:
+        return F.sort_array(F.transform(places, lambda p: F.struct(words[p].alias("a"), words[p + 1].alias("b"), words[p + 2].alias("c"), p.alias("p"))))
+
+    def covered(found: Column) -> Column:
+        def same(x: Column, y: Column) -> Column:
+            return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+        twice = F.filter(
+            found,
+            lambda x, i: ((i > 0) & same(found[F.greatest(i - 1, F.lit(0))], x))
+            | ((i < F.size(found) - 1) & same(found[F.least(i + 1, F.size(found) - 1)], x)),
+        )
+        places = F.transform(twice, lambda x: x["p"])
         return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
 
-    total = _let(words, lambda w: _let(bits, lambda b: _let(F.sort_array(windows(w, b)), lambda found: covered(found, b))))
+    def total_of(w: Column, b: Column) -> Column:
+        places = _let(F.sort_array(windows(w, b)), lambda found: meeting(found, b))
+        return _let(spelled(places, w), covered)
+
+    total = _let(words, lambda w: _let(bits, lambda b: total_of(w, b)))
     return F.when(count >= 3, total).otherwise(0).cast("long")
 
 
