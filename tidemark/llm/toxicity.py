@@ -151,7 +151,6 @@ class LabelModel:
                 self.table[:, cls] = np.log(mass / mass.sum(axis=1, keepdims=True))
             self.prior = float(np.clip((toxic * n).sum() / max(1.0, n.sum()), 1e-4, 0.9))
             self.weight = self._weights(votes, n, toxic)
-        self.accuracy = np.exp(self.table[:, 1, 1]) / (np.exp(self.table[:, 1, 1]) + np.exp(self.table[:, 0, 1]))
 
     @staticmethod
     def _votes(keys: np.ndarray) -> np.ndarray:
@@ -212,10 +211,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rate = sum(labelled.values()) / len(labelled) if labelled else 0.05
     model = LabelModel(patterns, rate)
     sample = votes.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
-    posterior = model.posterior(np.array([r.pattern for r in sample], np.int64)) if sample else np.zeros(0)
-    # A row with a label keeps it at the model's odds against a mistaken one.
-    given = np.array([labelled.get(r.doc_id, -1) for r in sample])
-    target = np.where(given == 1, 0.5 + 0.5 * np.maximum(posterior, 0.9), np.where(given == 0, 0.5 * np.minimum(posterior, 0.1), posterior))
+    target = model.posterior(np.array([r.pattern for r in sample], np.int64)) if sample else np.zeros(0)
     width = len(terms_)
     weights = fit_linear([r.hits for r in sample], target, width) if sample else np.full(1, -3.0)
 
