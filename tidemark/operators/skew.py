@@ -21,9 +21,14 @@ def hot_keys(df: DataFrame, on: Sequence[str], per_salt: int = ROWS_PER_SALT, li
     """Keys with more than ``per_salt`` rows and the ``_salts`` they need, the ``limit`` most
     frequent at most. NULL keys match nothing and are not listed."""
     known = df.filter(" and ".join(f"`{c}` is not null" for c in on))
-    counted = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_salt)
-    needed = F.ceil(F.col("_n") / per_salt).cast("int")
-    return counted.orderBy(F.desc("_n"), *on).limit(limit).select(*on, needed.alias("_salts"))
+    return salts_of(known.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), on, per_salt, limit)
+
+
+def salts_of(counted: DataFrame, on: Sequence[str], per_salt: int = ROWS_PER_SALT, limit: int = HOT_KEYS) -> DataFrame:
+    """The same from a table of one row per known key with its count ``n``."""
+    needed = F.ceil(F.col("n") / per_salt).cast("int")
+    hot = counted.filter(F.col("n") > per_salt).orderBy(F.desc("n"), *on).limit(limit)
+    return hot.select(*on, needed.alias("_salts"))
 
 
 def spread_join(
@@ -34,6 +39,7 @@ def spread_join(
     how: str = "inner",
     per_salt: int = ROWS_PER_SALT,
     limit: int = HOT_KEYS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose frequent left keys are spread over reducers in proportion to their
     rows, and whose left rows with a NULL key are spread over all.
@@ -41,11 +47,12 @@ def spread_join(
     ``right`` must hold few rows per key (one, or one per period): its rows for hot keys
     are repeated once per salt. ``spread_by`` names left columns that differ within a key;
     the salt is their hash, so a recomputed task salts its rows the same way again.
-    Every pair of the plain join is produced exactly once.
+    Every pair of the plain join is produced exactly once. ``counted`` gives the rows ``n``
+    per known key of ``left`` where the caller has them, which saves a pass over ``left``.
     """
     on = list(on)
     # At most `limit` small rows by construction.
-    hot = F.broadcast(hot_keys(left, on, per_salt, limit))
+    hot = F.broadcast(hot_keys(left, on, per_salt, limit) if counted is None else salts_of(counted, on, per_salt, limit))
     unknown = F.lit(False)
     for c in on:
         unknown = unknown | F.col(c).isNull()

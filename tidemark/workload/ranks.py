@@ -288,13 +288,24 @@ PROMOTION_GATES = f"""WITH {_METRICS}, {_BOOT}, {_GATED} SELECT model, variant,
 
 
 def final_summary(spark, sf):
+    """All 17 columns. Numbers are rounded before they become text, so that a half is not
+    decided by the last bit of a sum."""
     m, g = _gates(spark, sf)
-    s = gates.final_summary(m, g)
-    return s.select("model", "variant", "Precision@500", R(F.col("roc_auc"), 8).alias("roc_auc"), R(F.col("ece_delta"), 8).alias("ece_delta"), "promotion_pass")
+    text = ["model", "variant"]
+    return gates.final_summary(_rounded(m, [*text, "split", "rows", "events"]), _rounded(g, [*text, "promotion_pass"]))
 
 
-FINAL_SUMMARY = f"""WITH {_METRICS}, {_BOOT}, {_GATED} SELECT model, variant, printf('%.2f%%', precision_at_500 * 100) AS "Precision@500",
-  round(roc_auc, 8) AS roc_auc, round(ece_delta, 8) AS ece_delta, promotion_pass FROM gated"""
+def _percent(x: str, plus: str = "") -> str:
+    """Two decimals, a half going up as in the decimal notation of the rounded number."""
+    size = f"(round((abs(round({x}, 8)) * 100)::VARCHAR::DECIMAL(38, 18), 2)::DECIMAL(18, 2))::VARCHAR"
+    return f"(CASE WHEN round({x}, 8) < 0 THEN '-' ELSE '{plus}' END || {size} || '%')"
+
+
+FINAL_SUMMARY = f"""WITH {_METRICS}, {_BOOT}, {_GATED} SELECT model, variant, {_percent('precision_at_500')} AS "Precision@500",
+  {_percent('precision_at_5000')} AS "Precision@5000", coalesce({_percent('delta_vs_baseline', '+')}, '') AS "Delta vs baseline",
+  coalesce('[' || {_percent('ci_low', '+')} || ', ' || {_percent('ci_high', '+')} || ']', '--') AS "95% bootstrap CI",
+  {', '.join(f'round({c}, 8) AS {c}' for c in ('pr_auc', 'roc_auc', 'brier', 'brier_delta', 'ece', 'ece_delta', 'accuracy', 'precision', 'recall', 'f1'))},
+  promotion_pass FROM gated"""
 
 
 def policy_backtest(spark, sf):
@@ -308,18 +319,25 @@ POLICY = f"""WITH {S.PREDICTIONS}, r AS (SELECT *, {_TOP} AS rn FROM pred), rate
 
 
 def _audited(spark, sf):
-    frame = cut(D.labelled_spine(spark, sf), "audit-panel")
+    """The audited selection over the whole panel, deal columns included."""
+    frame = cut(D.panel(spark, sf).panel.select(*KEY, LABEL, "split", "exit_q", "company_exit_route", *audit.AUDIT_MEANS, *audit.AUDIT_MEDIANS), "audit-panel")
     pred = cut(D.predictions(spark, sf, frame), "predictions")
     return audit.audited_top(pred, frame, SPEC)
 
 
-_AUDITED = f"""seen AS (SELECT DISTINCT company_uuid FROM panel WHERE split = 'train'),
-  top_audit AS (SELECT r.*, k::INTEGER AS top_k, exit_q - quarter_idx AS wait, (company_uuid IN (SELECT company_uuid FROM seen))::INTEGER AS in_train
-    FROM (SELECT *, {_TOP} AS rn FROM pred) r, (SELECT unnest([500, 5000]) AS k) WHERE rn <= k)"""
+_AUDITED = f"""{S.LINKS}, {S.DEAL_Q}, seen AS (SELECT DISTINCT company_uuid FROM panel WHERE split = 'train'),
+  ranked AS (SELECT * FROM (SELECT *, {_TOP} AS rn FROM pred) WHERE rn <= 5000),
+  facts AS (SELECT r.*, (coalesce(d.deals, 0) > 0)::INTEGER AS matched, coalesce(d.deals, 0)::BIGINT AS deals, coalesce(d.size, 0) AS size, d.ev,
+      CASE WHEN d.deals > 0 THEN (r.quarter_idx - first_q)::DOUBLE ELSE 0 END AS since
+    FROM ranked r ASOF LEFT JOIN deal_c d ON r.company_uuid = d.company_uuid AND r.quarter_idx >= d.vq
+    LEFT JOIN links ON r.company_uuid = links.company_uuid),
+  top_audit AS (SELECT f.*, k::INTEGER AS top_k, exit_q - quarter_idx AS wait, (company_uuid IN (SELECT company_uuid FROM seen))::INTEGER AS in_train
+    FROM facts f, (SELECT unnest([500, 5000]) AS k) WHERE rn <= k)"""
 
 
 def topk_summary(spark, sf):
     s = audit.topk_summary(_audited(spark, sf), SPEC)
+    s = s.withColumn("top_median_preqin_deal_size_sum_asof", R(F.col("top_median_preqin_deal_size_sum_asof"), 2))
     ints = ["model", "variant", "top_k", "top_rows", "top_companies", "duplicate_company_rows", "event_rows", "event_rows_with_exit_q", "high_precision_flag_ge_75pct"]
     return _rounded(s, ints)
 
@@ -330,15 +348,23 @@ TOPK_SUMMARY = f"""WITH {S.PREDICTIONS}, {_AUDITED} SELECT model, variant, top_k
   count(wait) FILTER (WHERE label = 1)::BIGINT AS event_rows_with_exit_q, round(median(wait) FILTER (WHERE label = 1), 8) AS median_quarters_to_exit_among_events,
   round(avg((wait BETWEEN 0 AND 1)::INTEGER) FILTER (WHERE label = 1), 8) AS share_event_rows_exit_within_1q,
   round(avg((wait BETWEEN 0 AND 2)::INTEGER) FILTER (WHERE label = 1), 8) AS share_event_rows_exit_within_2q,
-  (avg(label) >= 0.75)::INTEGER AS high_precision_flag_ge_75pct FROM top_audit GROUP BY 1, 2, 3"""
+  (avg(label) >= 0.75)::INTEGER AS high_precision_flag_ge_75pct, round(avg(matched), 8) AS top_mean_preqin_institutional_confirmation,
+  round(avg(matched), 8) AS top_mean_crosswalk_matched_asof, round(avg((ev IS NULL)::INTEGER), 8) AS top_mean_enterprise_value_missing_flag,
+  median(deals) AS top_median_preqin_deal_count_asof, median(since) AS top_median_quarters_since_first_preqin_deal,
+  round(median(size), 2) AS top_median_preqin_deal_size_sum_asof, round(median(ln(1 + ev)), 8) AS top_median_log_enterprise_value_at_entry
+  FROM top_audit GROUP BY 1, 2, 3"""
 
 
 def topk_detail(spark, sf):
-    return audit.topk_detail(_audited(spark, sf), SPEC)
+    d = audit.topk_detail(_audited(spark, sf), SPEC)
+    return d.withColumns({c: R(F.col(c), n) for c, n in (("preqin_deal_size_sum_asof", 2), ("log_enterprise_value_at_entry", 8))})
 
 
 TOPK_DETAIL = f"""WITH {S.PREDICTIONS}, {_AUDITED} SELECT model, variant, top_k, rn::INTEGER AS top_rank, company_uuid, quarter_idx, score,
-  label AS {S.LABEL_NAME}, company_exit_route, exit_q, wait AS quarters_to_exit, in_train AS company_seen_in_train FROM top_audit"""
+  label AS {S.LABEL_NAME}, company_exit_route, exit_q, wait AS quarters_to_exit, in_train AS company_seen_in_train,
+  matched AS preqin_institutional_confirmation, matched AS crosswalk_matched_asof, deals AS preqin_deal_count_asof,
+  since AS quarters_since_first_preqin_deal, round(size, 2) AS preqin_deal_size_sum_asof, round(ln(1 + ev), 8) AS log_enterprise_value_at_entry,
+  (ev IS NULL)::INTEGER AS enterprise_value_missing_flag FROM top_audit"""
 
 
 QUERIES = {
