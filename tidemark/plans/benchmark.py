@@ -84,7 +84,8 @@ def _benchmark(spark, inputs, spec, input_version, models, n_boot, max_train_row
         frame = stage(spark, "model-frame", named, lambda: features.model_frame(inputs, spec, **panel_options).frame)
     train, test = (frame.filter(F.col("split") == s) for s in ("train", "test"))
 
-    usable = {fam: availability.present_columns(frame, cols) for fam, cols in features.FAMILIES.items()}
+    present = set(availability.present_columns(frame, features.all_features()))
+    usable = {fam: [c for c in cols if c in present] for fam, cols in features.FAMILIES.items()}
     models = modelling.model_specs() if models is None else models
     swept = modelling.sweep(train, test, spec, models, modelling.variants(usable), max_train_rows)
     predictions = cut(swept.unionByName(modelling.hazard_baseline(train, test, spec)), "predictions")
@@ -96,10 +97,10 @@ def _benchmark(spark, inputs, spec, input_version, models, n_boot, max_train_row
         gates.placebo_guard(promotion)
     audited = audit.audited_top(predictions, frame, spec)
     out_of_time = frame.filter(F.col("split").isin("validation", "test"))
-    screened = list(dict.fromkeys([f for fs in usable.values() for f in fs] + features.BASELINE_NUMERIC))
+    screened = {**usable, "baseline": features.BASELINE_NUMERIC}
     tables = {
         "feature_availability": availability.availability(frame, features.FAMILIES, features.blocked_families(inputs)).orderBy("position"),
-        "residual_rank_ic": rank_ic.residual_rank_ic(out_of_time, screened, spec.label),
+        "residual_rank_ic": rank_ic.residual_rank_ic_by_family(out_of_time, screened, spec.label),
         "metrics": scored,
         "promotion_gates": promotion,
         "calibration_deciles": metrics.binned_calibration(predictions, spec.label, key),

@@ -287,38 +287,57 @@ def residuals(spark, sf):
 
 RESIDUALS = """SELECT o_orderkey, round(floor(o_totalprice) - avg(floor(o_totalprice)) OVER (PARTITION BY o_orderpriority, year(o_orderdate)), 4) AS residual FROM orders"""
 
-IC_FEATURES = ["time_since_last_round_q", "num_investors_last_round", "last_round_amount", "quarter_idx", "last_round_amount_missing"]
+# What the panel holds before the wider families are attached, as SQL over ``kept``.
+_IC_SQL = {
+    "log_age_years": "ln(1 + age_q / 4)", "time_since_last_round_q": "since", "log_last_round_usd": S.log1p_clip("amount"),
+    "last_round_amount_missing": "(amount IS NULL)::INTEGER",
+    "sponsor_score": "(deals > 0)::INTEGER + 0.25::DOUBLE * ln(1 + coalesce(investors, 0))", "quarter_idx": "quarter_idx",
+    "num_investors_last_round": "investors", "num_investors_missing": "(investors IS NULL)::INTEGER",
+    "round_velocity": S.ratio("round_count_asof", "age_q / 4"), "preqin_institutional_confirmation": "(deals > 0)::INTEGER",
+    "preqin_deal_count_asof": "deals", "quarters_since_first_preqin_deal": "CASE WHEN deals > 0 THEN (quarter_idx - first_q)::DOUBLE ELSE 0 END",
+    "preqin_deal_size_sum_asof": "size", "crosswalk_matched_asof": "(deals > 0)::INTEGER", "log_enterprise_value_at_entry": "ln(1 + ev)",
+    "enterprise_value_missing_flag": "(ev IS NULL)::INTEGER",
+}
+IC_FAMILIES = {
+    family: found
+    for family, names in {**features.FAMILIES, "baseline": features.BASELINE_NUMERIC}.items()
+    if (found := [f for f in names if f in _IC_SQL])
+}
 
 
 def rank_ic_sweep(spark, sf):
-    oot = _since_panel(spark, sf).filter(F.col("split").isin("validation", "test"))
-    ic = rank_ic.residual_rank_ic(oot, IC_FEATURES, LABEL)
-    return ic.select("feature", R(F.col("residual_rank_ic"), 8).alias("residual_rank_ic"))
+    """Baseline and every family feature that the panel itself holds. Sums of deal sizes are
+    rounded, so that equal totals tie whatever the order of their terms."""
+    oot = D.panel(spark, sf).panel.filter(F.col("split").isin("validation", "test"))
+    oot = cut(oot.withColumn("preqin_deal_size_sum_asof", F.round("preqin_deal_size_sum_asof", 2)), "out-of-time")
+    ic = rank_ic.residual_rank_ic_by_family(oot, IC_FAMILIES, LABEL)
+    return ic.select("family", "feature", R(F.col("residual_rank_ic"), 8).alias("residual_rank_ic"))
 
 
 def _ic_sql() -> str:
-    columns = {
-        "time_since_last_round_q": "since", "num_investors_last_round": "investors", "last_round_amount": "amount",
-        "quarter_idx": "quarter_idx", "last_round_amount_missing": "(amount IS NULL)::INTEGER",
-    }
     rows = " UNION ALL ".join(
         f"SELECT '{f}' AS feature, ({c})::DOUBLE AS v, label AS y, sector_bucket || '|' || stage_bucket || "
         f"{repr('') if f == 'quarter_idx' else chr(39) + '|' + chr(39) + ' || quarter_idx'} AS g "
-        f"FROM kept WHERE split IN ('validation', 'test') AND ({c}) IS NOT NULL"
-        for f, c in columns.items()
+        f"FROM kept WHERE ({c}) IS NOT NULL"
+        for f, c in _IC_SQL.items()
     )
+    listed = ", ".join(f"('{family}', '{f}')" for family, names in IC_FAMILIES.items() for f in names)
 
     def rank(x: str) -> str:
         return (
             f"(rank() OVER (PARTITION BY feature ORDER BY {x}) + (count(*) OVER (PARTITION BY feature, {x}) - 1) / 2)"
         )
 
-    return f"""WITH {_SINCE}, long AS ({rows}),
+    return f"""WITH {_PANEL_CTE}, kept AS (SELECT pr.*, coalesce(d.deals, 0) AS deals, round(coalesce(d.size, 0), 2) AS size, d.ev, first_q
+    FROM pr ASOF LEFT JOIN deal_c d ON pr.company_uuid = d.company_uuid AND pr.quarter_idx >= d.vq
+    LEFT JOIN links ON pr.company_uuid = links.company_uuid WHERE split IN ('validation', 'test')),
+  long AS ({rows}),
   twice AS (SELECT *, (2 * {rank('v')})::HUGEINT AS px, (2 * {rank('y')})::HUGEINT AS py, count(*) OVER (PARTITION BY feature, g) AS n FROM long),
   res AS (SELECT feature, v, y, (px * n - sum(px) OVER (PARTITION BY feature, g)) / n AS rx, (py * n - sum(py) OVER (PARTITION BY feature, g)) / n AS ry FROM twice),
-  rk AS (SELECT feature, v, y, {rank('rx')} AS a, {rank('ry')} AS b FROM res)
-  SELECT feature, round(CASE WHEN count(*) >= 100 AND count(DISTINCT v) >= 3 AND count(DISTINCT y) >= 2 THEN corr(a, b) END, 8) AS residual_rank_ic
-  FROM rk GROUP BY 1"""
+  rk AS (SELECT feature, v, y, {rank('rx')} AS a, {rank('ry')} AS b FROM res),
+  ic AS (SELECT feature, round(CASE WHEN count(*) >= 100 AND count(DISTINCT v) >= 3 AND count(DISTINCT y) >= 2 THEN corr(a, b) END, 8) AS residual_rank_ic
+    FROM rk GROUP BY 1)
+  SELECT family, feature, residual_rank_ic FROM (VALUES {listed}) l(family, feature) LEFT JOIN ic USING (feature)"""
 
 
 def family_availability(spark, sf):
