@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import PanelSpec, SplitSpec
-from tidemark.operators import asof, gates, labels, matching, metrics, ordered, prefix, ranking, runs, sampling, skew, spine
+from tidemark.operators import asof, gates, labels, matching, metrics, ordered, prefix, rank_ic, ranking, runs, sampling, skew, spine
 from tidemark.operators.snapshot_asof import cutoff_rows
 
 SPEC = PanelSpec(window_start=10, splits=SplitSpec(20, 24, 28), entity="e", period="q", label="y", horizon=8)
@@ -150,6 +150,8 @@ def test_spread_join_and_top_k_with_a_hot_key(spark):
         assert rows(skew.spread_join(left, right, ["k"], ["r"], how, per_salt=50, limit=3)) == rows(left.join(right, "k", how).select("k", "r", "v"))
     blank = left.withColumn("k", F.when(F.col("r") % 10 == 0, F.col("k")))
     assert rows(skew.spread_join(blank, right, ["k"], ["r"], "left", per_salt=50)) == rows(blank.join(right, "k", "left").select("k", "r", "v"))
+    counted = blank.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(skew.spread_join(blank, right, ["k"], ["r"], "left", per_salt=50, counted=counted)) == rows(blank.join(right, "k", "left").select("k", "r", "v"))
     got = skew.top_k(left, ["k"], 4, [F.desc("r")], ["r"], salts=6)
     want = {}
     for r, k in sorted(((r.r, r.k) for r in left.collect()), reverse=True):
@@ -276,3 +278,14 @@ def test_snapshot_window_edges(spark):
         "too_old": ("stale_snapshot", "no_snapshot_within_730_days_before_cutoff"),
         "none": ("missing", "no_cdx_snapshot_in_query_window"), "failed": ("request_error", "boom"),
     }
+
+
+def test_rank_correlations_by_family(spark):
+    rng = random.Random(8)
+    data = [(rng.random(), float(rng.randrange(9)), None, int(rng.random() < 0.4), "a", rng.choice("xyz"), i % 4) for i in range(400)]
+    df = spark.createDataFrame(data, "f double, g double, empty double, y int, sector_bucket string, stage_bucket string, quarter_idx int")
+    families = {"one": ["f", "empty"], "two": ["g", "f"], "baseline": ["quarter_idx"]}
+    got = {(r.family, r.feature): r.residual_rank_ic for r in rank_ic.residual_rank_ic_by_family(df, families, "y").collect()}
+    single = {r.feature: r.residual_rank_ic for r in rank_ic.residual_rank_ic(df, ["f", "g", "quarter_idx"], "y").collect()}
+    assert got == {(name, f): single.get(f) for name, fs in families.items() for f in fs}
+    assert got["one", "empty"] is None and got["one", "f"] is not None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.config import SplitSpec
@@ -118,6 +120,33 @@ FULL_PANEL = f"""WITH {_PANEL_CTE} SELECT pr.company_uuid, quarter_idx, label AS
   LEFT JOIN links ON pr.company_uuid = links.company_uuid WHERE split <> 'exclude'"""
 
 
+def default_panel(spark, sf):
+    """The panel with nothing overridden but word lists: matched buyouts are the third kind
+    of exit, and the data end where the first of six tables ends."""
+    inputs = D.inputs(spark, sf)
+    latest = D.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias(E)).agg(F.max("o_orderdate").alias("collected_at"))
+    companies = inputs.companies.drop("collected_at").join(latest, E, "left")
+    p = P.build_panel(replace(inputs, companies=companies), SPEC, sector=D.sector(), stage=D.stage()).panel
+    return p.select(E, Q, LABEL, "split", "exit_q", "company_exit_route", "round_count_asof", "preqin_deal_count_asof", "stage_bucket")
+
+
+_MATCHED_SALES = f"""{S.LINKS}, sponsor AS (SELECT company_uuid, min(deal_date) AS d FROM pairs WHERE source = 'buyout' AND deal_date IS NOT NULL GROUP BY 1)"""
+_SIX_TABLES = """asof_day AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(announced_on) FROM rounds), (SELECT max(d) FROM acq),
+  (SELECT max(d) FROM ipos), (SELECT max(deal_date) FROM deals WHERE source = 'vc'), (SELECT max(deal_date) FROM deals WHERE source = 'buyout')) AS data_asof)"""
+_TWO_TABLES = "asof_day AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) AS data_asof)"
+
+
+def _default_sql() -> str:
+    cte = f"{S.SPINE}, {S.ROUND_Q}, {S.DEAL_Q}, {S.ROUND_FEATURES}"
+    for old, new in ((S.SPONSOR, _MATCHED_SALES), (_TWO_TABLES, _SIX_TABLES)):
+        if old not in cte:
+            raise ValueError(f"not part of the panel's SQL: {old}")
+        cte = cte.replace(old, new)
+    return f"""WITH {cte} SELECT pr.company_uuid, quarter_idx, label AS {S.LABEL_NAME}, split, exit_q, company_exit_route,
+  round_count_asof::BIGINT AS round_count_asof, coalesce(d.deals, 0)::BIGINT AS preqin_deal_count_asof, stage_bucket
+  FROM pr ASOF LEFT JOIN deal_c d ON pr.company_uuid = d.company_uuid AND pr.quarter_idx >= d.vq WHERE split <> 'exclude'"""
+
+
 def _rounds_only(spark, sf, mode):
     """Spine and round facts only, in either as-of mode."""
     base = spine.entity_base(D.companies(spark, sf), D.funding_rounds(spark, sf), SPEC, D.sector())
@@ -416,6 +445,7 @@ QUERIES = {
     "W2_asof_panel_only": (asof_panel_only, ASOF_PANEL_ONLY),
     "J6_merge_then_carry": (merge_then_carry, MERGE_THEN_CARRY),
     "L7_full_panel": (full_panel, FULL_PANEL),
+    "L1_L7_default_sources": (default_panel, _default_sql()),
     "E20_patent_features": (patent_features, PATENT_FEATURES),
     "E20_homepage_features": (homepage_features, HOMEPAGE_FEATURES),
     "E20_J5_F4_partner_features": (partner_features, PARTNER_FEATURES),
