@@ -183,3 +183,13 @@ def test_entry_points_need_no_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_a_listing_is_parsed_once_to_count_its_snapshots(spark):
+    from tidemark.sources.snapshots import LISTING_SCHEMA, query_log
+
+    payloads = ['[["timestamp"],["20200101000000"],["x"],null,["20210101000000"]]', '[["digest"],["a"]]', '[["timestamp"]]', "oops", "", None]
+    rows = query_log(spark.createDataFrame([(str(i), 200, p, "") for i, p in enumerate(payloads)], LISTING_SCHEMA))
+    assert [r.snapshot_rows for r in rows.orderBy("website_domain").collect()] == [2, 0, 0, 0, 0, 0]
+    plan = rows.select("snapshot_rows")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
