@@ -289,3 +289,16 @@ def test_rank_correlations_by_family(spark):
     single = {r.feature: r.residual_rank_ic for r in rank_ic.residual_rank_ic(df, ["f", "g", "quarter_idx"], "y").collect()}
     assert got == {(name, f): single.get(f) for name, fs in families.items() for f in fs}
     assert got["one", "empty"] is None and got["one", "f"] is not None
+
+
+def test_fan_join_keeps_its_reducers_at_any_size(spark):
+    from tidemark.operators.skew import fan_join
+
+    left = spark.range(3000).select(F.col("id").alias("e"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("k"))
+    right = spark.createDataFrame([("hot", q, 1) for q in range(5)] + [("6", 0, 2)], "k string, q int, n int")
+    joined = fan_join(left, right, ["k"], ["e"], 3000, per_task=100).cache()
+    assert joined.count() == 2000 * 5 + 1 and joined.distinct().count() == joined.count()
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert joined.rdd.getNumPartitions() == 30 and max(sizes) < 3000
+    plan = fan_join(left, right, ["k"], ["e"], 3000, per_task=100)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in plan
