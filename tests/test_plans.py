@@ -110,3 +110,16 @@ def test_registered_sweep_is_the_published_one(spark, monkeypatch):
     assert asked["models"]["gradient_boosted_trees"].trees().trees == 250
     assert asked["variants"] == modelling.variants(features.FAMILIES) and len(asked["variants"]) == 12
     assert all(x is not None for x in (asked["inputs"].patents, asked["inputs"].partner_features, asked["inputs"].homepage_rows))
+
+
+def test_deals_are_added_up_by_small_splits(spark):
+    """Whatever larger split the session allows, in any spelling; a smaller one stays."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, left in (("128m", panel.SPLIT_BYTES), ("134217728b", panel.SPLIT_BYTES), ("1GB", panel.SPLIT_BYTES), ("4mb", 4 << 20)):
+            spark.conf.set(name, given)
+            panel.match_tables(D.inputs(spark, SF), SPEC)
+            assert panel._in_bytes(spark.conf.get(name)) == left, given
+    finally:
+        spark.conf.set(name, before)
