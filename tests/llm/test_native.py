@@ -5,6 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import license_scan
 from tidemark.llm.license_scan import license_report
 from tidemark.llm.quality import BITS, POLICIES, _repeated_words, ablations, apply_policy, measure, quality_ledger
 from tidemark.llm.queries import QUERIES
@@ -96,6 +97,22 @@ def test_repeated_license_texts(spark):
     assert got[1] == got[2] == ("reserved", 1.0) and got[3] == got[4] == ("", 0.0)
 
 
+def test_license_texts_are_read_and_split_once(spark, tmp_path, monkeypatch):
+    """Whatever stands at either end of a text; pairs of the templates have their word places."""
+    texts = ["", "--", "The MIT License", "...mit license...", "x\u00e9 MIT--license\nall rights reserved!", "mit", None]
+    path = str(tmp_path / "license-texts")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    plans, cut = [], license_scan.cut
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(license_scan, "cut", lambda df, name: plans.append(text(df)) or cut(df, name))
+    report = license_report(spark.read.parquet(path))
+    plans.append(text(report))
+    assert sum(p.count("text:string>") for p in plans) == 1 and not any("regexp" in p for p in plans)
+    assert sum(p.count("split(") for p in plans) == 1
+    got = {r.doc_id: (r.n_words, r.first_word, r.labels) for r in report.collect()}
+    assert got == {0: (0, None, ""), 1: (0, None, ""), 2: (3, 1, "mit"), 3: (2, 0, "mit"), 4: (6, 1, "mit,reserved"), 5: (1, None, ""), 6: (0, None, "")}
+
+
 def test_signed_tokens(spark):
     part = "eyJabcdefgh"
     texts = {
