@@ -1,10 +1,11 @@
 """Shape of physical plans, and the whole benchmark on the smallest tables."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, labels, metrics, skew
+from tidemark.operators import asof, labels, matching, metrics, skew
 from tidemark.plans import modelling, panel
 from tidemark.plans.benchmark import run_benchmark, write_results
 from tidemark.sources.sinks import cut
@@ -123,3 +124,14 @@ def test_deals_are_added_up_by_small_splits(spark):
             assert panel._in_bytes(spark.conf.get(name)) == left, given
     finally:
         spark.conf.set(name, before)
+
+
+def test_tasks_of_the_panel_follow_its_entities(spark, monkeypatch):
+    """Both where deals are added up and where periods are sorted, not what they read."""
+    monkeypatch.setattr(asof, "ENTITIES_PER_SORT", 3)
+    monkeypatch.setattr(matching, "ENTITIES_PER_SORT", 4)
+    found = D.panel(spark, SF)
+    companies = D.companies(spark, SF).filter("company_uuid is not null").count()
+    text = re.sub(r"#\d+", "", plan(found.panel))
+    assert f"hashpartitioning(company_uuid, {-(-companies // 3)}), REPARTITION_BY_NUM" in text
+    assert f"hashpartitioning(company_uuid, fact_period, {-(-companies // 4)}), REPARTITION_BY_NUM" in text
