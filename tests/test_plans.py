@@ -126,6 +126,34 @@ def test_deals_are_added_up_by_small_splits(spark):
         spark.conf.set(name, before)
 
 
+def test_shuffles_follow_the_input(spark, monkeypatch):
+    """Partitions by the bytes of the input, each file once, merged up to a bound; a larger
+    number or a smaller bound of the session stays."""
+    parts, most = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    names = ("customer", "orders", "lineitem", "part", "pages")
+    size = sum(os.path.getsize(f"{SF}/{t}.parquet") for t in names)
+    before = spark.conf.get(most)
+    monkeypatch.setattr(panel, "INPUT_PER_PART", 10_000)
+    inputs = D.inputs(spark, SF)
+    try:
+        spark.conf.set(most, "64m")
+        panel.match_tables(inputs, SPEC)
+        assert int(spark.conf.get(parts)) == -(-size // 10_000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert panel._in_bytes(spark.conf.get(most)) == panel.READ_BYTES
+        many = str(10 * size)
+        spark.conf.set(parts, many)
+        spark.conf.set(most, "1m")
+        panel._bounded_tasks(inputs)
+        assert (spark.conf.get(parts), spark.conf.get(most)) == (many, "1m")
+        spark.conf.unset(parts)
+        rows = spark.createDataFrame([("a",)], "x string")
+        panel._bounded_tasks(panel.PanelInputs(*[rows] * 6))
+        assert spark.conf.get(parts, None) is None
+    finally:
+        spark.conf.unset(parts)
+        spark.conf.set(most, before)
+
+
 def test_tasks_of_the_panel_follow_its_entities(spark, monkeypatch):
     """Both where deals are added up and where periods are sorted, not what they read."""
     monkeypatch.setattr(asof, "ENTITIES_PER_SORT", 3)
