@@ -163,3 +163,13 @@ def test_tasks_of_the_panel_follow_its_entities(spark, monkeypatch):
     text = re.sub(r"#\d+", "", plan(found.panel))
     assert f"hashpartitioning(company_uuid, {-(-companies // 3)}), REPARTITION_BY_NUM" in text
     assert f"hashpartitioning(company_uuid, fact_period, {-(-companies // 4)}), REPARTITION_BY_NUM" in text
+
+
+def test_matched_deals_are_written_before_the_panel(spark, monkeypatch):
+    """On request, with the same rows."""
+    names, written = [], panel.cut
+    monkeypatch.setattr(panel, "cut", lambda df, name="cut": names.append(name) or written(df, name))
+    inputs, options = D.inputs(spark, SF), D.panel_options(spark, SF)
+    one, other = (panel.build_panel(inputs, D.panel_spec(), write_facts=w, **options).panel for w in (False, True))
+    assert names.count("deal-facts") == 1 and one.columns == other.columns
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()

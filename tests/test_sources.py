@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,26 @@ def test_a_listing_is_parsed_once_to_count_its_snapshots(spark):
     assert [r.snapshot_rows for r in rows.orderBy("website_domain").collect()] == [2, 0, 0, 0, 0, 0]
     plan = rows.select("snapshot_rows")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def _shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {name for name in names if "shuffle_" in name}
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    """Shuffles of a written table end with the write, not when the driver collects garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.range(1000).repartition(5).persist()
+    assert kept.count() == 1000
+    before, was = _shuffle_files(spark), spark.conf.get(setting, None)
+    table = sinks.cut(spark.range(1000).repartition(7).groupBy((F.col("id") % 9).alias("k")).count(), "released")
+    left = set()
+    for _ in range(50):
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting, None) == was
+    assert table.count() == 9 and kept.count() == 1000
+    kept.unpersist()
